@@ -79,15 +79,20 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def _ordered(group: pd.DataFrame) -> pd.DataFrame:
+    """Large rows first: those that stay undecided to the end, and are rounded, are then small."""
+    return group.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+
+
 def _fly(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["_order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    group = _ordered(group)
     group["_p"] = flight(group["_p"].to_numpy(), group["size"].to_numpy())
     return group
 
 
 def _land(group: pd.DataFrame) -> pd.DataFrame:
     """Two undecided rows at most: the choice of 0s and 1s whose tokens come nearest to what the probabilities promise."""
-    group = group.sort_values(["_order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    group = _ordered(group)
     p, size = flight(group["_p"].to_numpy(), group["size"].to_numpy()), group["size"].to_numpy()
     open_rows = np.flatnonzero((p > 0) & (p < 1))
     promised = (p[open_rows] * size[open_rows]).sum()
