@@ -7,8 +7,8 @@ coordinate hits 0 or 1, and again, until no more coordinates are left than there
 
 On Spark the flight runs in groups of at most about ``group_rows`` rows of one source, dealt by a hash, so a source with
 a third of all rows is many groups; each group ends with two undecided rows at most and exact totals. What is left of
-the groups flies again in the next round, until a source has two undecided rows: the landing problem, settled by
-rounding the rows in order so that the source's tokens stay nearest to their target.
+the groups flies again in the next round, until a source is one group: the landing problem, a
+dozen rows of each source, settled by trying every rounding.
 
 Sizes and sources alone are shuffled, never texts. Defined cases: a null or empty text has size 0 and is taken like the
 others (it only counts as a row); a null source is a source of its own and the last; the probabilities depend on a hash
@@ -90,15 +90,23 @@ def _fly(group: pd.DataFrame) -> pd.DataFrame:
     return group
 
 
-def _land(group: pd.DataFrame) -> pd.DataFrame:
-    """Two undecided rows at most: the choice of 0s and 1s whose tokens come nearest to what the probabilities promise."""
+def _land(group: pd.DataFrame, held_back: int = 12) -> pd.DataFrame:
+    """The flight of a source's last rows but ``held_back`` of them, evenly spaced by size; the landing problem is these
+    and the two rows that the flight leaves, and every choice of 0s and 1s for them is tried: the one whose tokens, and
+    then whose rows, come nearest to what the probabilities promise is taken."""
     group = _ordered(group)
-    p, size = flight(group["_p"].to_numpy(), group["size"].to_numpy()), group["size"].to_numpy()
-    open_rows = np.flatnonzero((p > 0) & (p < 1))
-    promised = (p[open_rows] * size[open_rows]).sum()
-    choices = [np.array([(c >> k) & 1 for k in range(len(open_rows))], float) for c in range(1 << len(open_rows))]
-    best = min(choices, key=lambda c: (abs((c * size[open_rows]).sum() - promised), abs(c.sum() - p[open_rows].sum()))) if len(open_rows) else []
-    p[open_rows] = best
+    p, size = group["_p"].to_numpy().astype(float), group["size"].to_numpy()
+    undecided = np.flatnonzero((p > 0) & (p < 1))
+    back = undecided[np.unique(np.linspace(0, len(undecided) - 1, min(held_back, len(undecided))).astype(int))] if len(undecided) else undecided
+    promised, rows = (p[undecided] * size[undecided]).sum(), p[undecided].sum()
+    flown = np.setdiff1d(undecided, back)
+    p[flown] = flight(p[flown], size[flown])
+    left = np.r_[flown[(p[flown] > 0) & (p[flown] < 1)], back].astype(int)
+    if len(left):
+        choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        sure = flown[p[flown] == 1]
+        far = np.abs(choices @ size[left] + size[sure].sum() - promised) + 0.1 * size[undecided].mean() * np.abs(choices.sum(axis=1) + len(sure) - rows)
+        p[left] = choices[int(np.argmin(far))]
     group["_p"] = p
     return group
 
@@ -116,7 +124,7 @@ def cube_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
         last = widest <= group_rows
         parts = F.lit(1) if last else F.ceil(F.col("n_rows") / F.lit(group_rows))
         keyed = rows.withColumn("_part", F.pmod(F.xxhash64("_order", F.lit(widest)), parts))
-        flown = keyed.groupBy("source", "_part").applyInPandas(_land if last else _fly, keyed.schema).drop("_part")
+        flown = keyed.groupBy("source", "_part").applyInPandas((lambda g: _land(g)) if last else _fly, keyed.schema).drop("_part")
         if last:
             done.append(flown)
             break
