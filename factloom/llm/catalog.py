@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact_dedup, mixing, quality_rules
+from factloom.llm import chat, exact_dedup, mixing, near_dedup, quality_rules
 
 
 def queries():
     return {
         "op1_cube_mixing": mixing.op1_cube_mixing,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op5_chat_formatting": chat.OP5_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op5_chat_formatting": chat.OP5_SQL, "op6_minhash_near_dedup": near_dedup.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
