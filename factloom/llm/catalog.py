@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact_dedup, mixing, near_dedup, quality_rules
+from factloom.llm import chat, exact_dedup, importance, mixing, near_dedup, pieces, quality_rules
 
 
 def queries():
     return {
         "op1_cube_mixing": mixing.op1_cube_mixing,
+        "op2_importance_resampling": importance.op2_importance_resampling,
+        "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
