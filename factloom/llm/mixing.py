@@ -141,6 +141,19 @@ def cube_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``.
+
+    A row is known by doc_id and source; rows that share both are told apart by their order of size.
+    """
+    taken = cube_mix(docs, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", "copies")
+    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_source").orderBy("size")))
+    rows = docs.select("*", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(n_words())).alias("_n0"))
+    same = rows["doc_id"].eqNullSafe(taken["_doc"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_n0"] == taken["_n"])
+    own = rows.join(taken.where("copies > 0"), same)
+    return own.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[rows[c] for c in docs.columns])
+
+
 RESULT = ["doc_id", "source", "size", "source_size", "target", "_whole", "_p"]
 
 
