@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact_dedup, importance, mixing, near_dedup, pieces, quality_rules
+from factloom.llm import chat, exact_dedup, importance, mixing, near_dedup, pieces, quality_rules, suffix_dedup
 
 
 def queries():
@@ -14,8 +14,9 @@ def queries():
         "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     }
 
 
 def oracle_sql():
-    return {"op5_chat_formatting": chat.OP5_SQL, "op6_minhash_near_dedup": near_dedup.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op5_chat_formatting": chat.OP5_SQL, "op6_minhash_near_dedup": near_dedup.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_suffix_array_dedup": suffix_dedup.OP10_SQL}
