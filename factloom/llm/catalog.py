@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, exact_dedup, importance, mixing, near_dedup, pieces, quality_rules, suffix_dedup
+from factloom.llm import chat, exact_dedup, importance, lines, mixing, near_dedup, paragraphs, pieces, quality_rules, suffix_dedup
 
 
 def queries():
     return {
         "op1_cube_mixing": mixing.op1_cube_mixing,
         "op2_importance_resampling": importance.op2_importance_resampling,
+        "op3_paragraph_dedup": paragraphs.op3_paragraph_dedup,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,

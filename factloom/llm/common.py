@@ -58,7 +58,7 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` text bytes (one row at least), which bounds the arrays made of them."""
     if not batch.num_rows:
         return

@@ -106,7 +106,14 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _matrix(table: pa.Table, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.uint32).reshape(-1, k)
+    """Signatures of k coordinates, of one byte or of four."""
+    data = b"".join(x.as_py() for x in table.column("sig"))
+    return np.frombuffer(data, np.uint8 if len(data) == k * table.num_rows else np.uint32).reshape(-1, k)
+
+
+def _short(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """A token's bucket and, below it, 32 of its bits: tokens cut short can only make more candidates."""
+    return ((tokens % np.uint64(buckets)) << np.uint64(32)) | (tokens >> np.uint64(32))
 
 
 def shared_tokens(items: DataFrame, tokens_of, k: int, buckets: int) -> DataFrame:
@@ -114,14 +121,15 @@ def shared_tokens(items: DataFrame, tokens_of, k: int, buckets: int) -> DataFram
 
     def post(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        t, n = np.unique(tokens_of(_matrix(table, k)).ravel(), return_counts=True)
-        order, parts = _dealt((t % np.uint64(buckets)).astype(np.int64))
-        t, n = t[order], n[order].astype(np.uint32)
-        return pa.table([[b for b, _, _ in parts], [block] * len(parts), [t[s:e].tobytes() for _, s, e in parts], [n[s:e].tobytes() for _, s, e in parts]], schema=_POSTED)
+        key, n = np.unique(_short(tokens_of(_matrix(table, k)), buckets).ravel(), return_counts=True)
+        value, n = key.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
+        _, parts = _dealt((key >> np.uint64(32)).astype(np.int64))
+        return pa.table([[b for b, _, _ in parts], [block] * len(parts), [value[s:e].tobytes() for _, s, e in parts], [n[s:e].tobytes() for _, s, e in parts]], schema=_POSTED)
 
     def add_up(table: pa.Table) -> pa.Table:
-        t, n = _joined(table, "tokens", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64)
-        sizes = _counts(table, "tokens", 8)
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        t, n = _joined(table, "tokens", np.uint32), _joined(table, "counts", np.uint16).astype(np.int64)
+        sizes = _counts(table, "tokens", 4)
         _, which = np.unique(t, return_inverse=True)
         total = np.bincount(which, n).astype(np.int64)[which]
         out, at = [], 0
@@ -130,7 +138,8 @@ def shared_tokens(items: DataFrame, tokens_of, k: int, buckets: int) -> DataFram
             keep = total[own] > 1
             at += size
             if keep.any():
-                out.append((block, t[own][keep].tobytes(), np.minimum(total[own][keep], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+                keys = (bucket << np.uint64(32)) | t[own][keep].astype(np.uint64)
+                out.append((block, keys.tobytes(), np.minimum(total[own][keep], 0xFFFFFFFF).astype(np.uint32).tobytes()))
         return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[], [], []], schema=SHARED)
 
     posted = items.select("block", "sig").groupBy("block").applyInArrow(post, "bucket long, block long, tokens binary, counts binary")
@@ -165,7 +174,7 @@ def post(items: DataFrame, shared: DataFrame, tokens_of, choose, k: int, buckets
         t, f = _joined(known, "tokens", np.uint64), _joined(known, "freqs", np.uint32)
         order = np.argsort(t)
         t, f = t[order], f[order]
-        tokens = tokens_of(sig)
+        tokens = _short(tokens_of(sig), buckets)
         at = np.minimum(np.searchsorted(t, tokens), len(t) - 1)
         freq = np.where(t[at] == tokens, f[at], 1).astype(np.int64)
         row, col = np.nonzero(choose(tokens, freq))
@@ -183,7 +192,7 @@ def post(items: DataFrame, shared: DataFrame, tokens_of, choose, k: int, buckets
             rows.append(np.repeat(row[large], parts))
             sides.append(np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8))
             key, row, side = np.concatenate(keys), np.concatenate(rows), np.concatenate(sides)
-        order, dealt = _dealt((key % np.uint64(buckets)).astype(np.int64))
+        order, dealt = _dealt((mix(key) % np.uint64(buckets)).astype(np.int64))
         key, row, side = key[order], row[order], side[order]
         short = sig.astype(np.uint8)
         return pa.table(
@@ -239,8 +248,6 @@ def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int =
                     if len(rest):
                         touched = np.unique(np.r_[label[rest], label[m]])
                         label[np.isin(label, touched)] = touched[0]
-        for i, (a, b) in enumerate(links):
-            links[i] = (a, b)
         outside = np.flatnonzero(label != np.arange(len(uniq)))
         return pa.table([uniq[outside], uniq[label[outside]]], schema=LINKS)
 
