@@ -198,7 +198,7 @@ class Encoder:
             if unknown.any():
                 who = live[unknown]
                 chars_ = chars[start[who] + pos[who] - 1]
-                raw = ["▁".encode() if c > 0x10FFFF else chr(c).encode() for c in chars_.tolist()]
+                raw = [SPACE_SIGN.encode() if c > 0x10FFFF else b" " if c == ord(SPACE_SIGN) else chr(c).encode() for c in chars_.tolist()]
                 width = np.array([len(x) for x in raw])
                 place = step + np.repeat(width, width) - 1 - (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))
                 parts.append((np.repeat(who, width), place, self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
