@@ -119,6 +119,22 @@ def run_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(values, np.r_[0, np.cumsum(lengths)[:-1]]) + lengths.astype(np.uint64))
 
 
+def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of ``size`` bytes (or code points), by doubling."""
+    h, width, out, have = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if size & width:
+            if out is None:
+                out, have = h, width
+            else:
+                n = len(h) - have
+                out, have = out[:n] * np.uint64(pow(int(PRIME), width, 1 << 64)) + h[have : have + n], have + width
+        if width * 2 > size:
+            return mix(out)
+        h = h[: len(h) - width] * np.uint64(pow(int(PRIME), width, 1 << 64)) + h[width:]
+        width *= 2
+
+
 def shingle_hashes(words: np.ndarray, row: np.ndarray, size: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all windows of ``size`` words; a row with fewer words but one at least has one of all its words."""
     count = np.bincount(row, minlength=n_rows)

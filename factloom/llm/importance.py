@@ -1,10 +1,10 @@
 """Quality classifier by importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
-Words and word pairs of whole texts are hashed into ``buckets``. The raw model counts all documents; the target model
-counts documents labelled good and is shrunk towards the raw one, so that a bucket that the target has hardly seen says
-nothing. A document's log importance weight is its mean log ratio for each n-gram, times its number of n-grams, ``span``
-at most: a long text is then not decided by its length. Its key is the weight plus a Gumbel draw that depends on
-(seed, doc_id) alone; the k rows with the largest keys are the sample, which is drawing k without replacement in
+Words, word pairs and strings of three bytes of whole texts are hashed into ``buckets`` each. The raw model counts all
+documents; the target model counts documents labelled good and is shrunk towards the raw one, so that a bucket that the
+target has hardly seen says nothing. A document's log importance weight adds up, for words, pairs and byte strings, the
+mean log ratio times their number, ``span`` at most: a long text is then not decided by its length. Its key is the weight
+plus a Gumbel draw that depends on (seed, doc_id) alone; the k rows with the largest keys are the sample, which is drawing k without replacement in
 proportion to the weights.
 
 k is the number of documents whose weight reaches a threshold, chosen on labelled documents that neither model's target
@@ -28,20 +28,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PRIME, SPACE, mix, packed, run_hashes, runs, settle, slices
+from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, run_hashes, runs, settle, slices
 
 ADDED = ["log_weight", "key", "kept"]
+BYTES = 3
+KINDS = 3
 
 
-def ngram_buckets(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of each word and each pair of neighbouring words of a text."""
+def ngram_buckets(column: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of each word, of each pair of neighbouring words, and of each string of ``BYTES`` bytes of a text; each
+    of the three kinds has ``buckets`` of its own, one after the other."""
     data, offs = packed(column)
     s, e, row = runs(~SPACE[data], offs)
     h = run_hashes(data, s, e)
     same = row[1:] == row[:-1]
     pairs = mix(h[:-1] * PRIME + h[1:])[same]
-    return (np.r_[h, pairs] % np.uint64(buckets)).astype(np.int64), np.r_[row, row[:-1][same]]
-
+    own = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    grams = byte_grams(data, BYTES) if len(data) >= BYTES else np.zeros(0, np.uint64)
+    inside = own[: len(grams)] == own[len(own) - len(grams) :]
+    found = (h, row), (pairs, row[:-1][same]), (grams[inside], own[: len(grams)][inside])
+    return [((x % np.uint64(buckets)).astype(np.int64) + k * buckets, r) for k, (x, r) in enumerate(found)]
 
 
 def count_models(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame:
@@ -49,14 +55,14 @@ def count_models(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame
     schema = pa.schema([("bucket", pa.int64()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def each(batches):
-        raw, own = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, own = np.zeros(KINDS * buckets, np.int64), np.zeros(KINDS * buckets, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                b, row = ngram_buckets(part.column("text"), buckets)
-                raw += np.bincount(b, minlength=buckets)
+            for part in slices(batch, "text", 1 << 18):
+                b, row = (np.concatenate(x) for x in zip(*ngram_buckets(part.column("text"), buckets), strict=True))
+                raw += np.bincount(b, minlength=KINDS * buckets)
                 chosen = np.isin(part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), target) & ~np.asarray(part.column("doc_id").is_null())
                 if chosen.any():
-                    own += np.bincount(b[chosen[row]], minlength=buckets)
+                    own += np.bincount(b[chosen[row]], minlength=KINDS * buckets)
         full = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw[full]), pa.array(own[full])], schema=schema)
 
@@ -66,33 +72,35 @@ def count_models(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame
 
 def log_ratios(counts, buckets: int, prior: float) -> np.ndarray:
     """log p_target / p_raw of each bucket; the target's model has ``prior`` pseudo-counts a bucket, dealt as the raw one's."""
-    raw, own = np.zeros(buckets), np.zeros(buckets)
+    raw, own = np.zeros(KINDS * buckets), np.zeros(KINDS * buckets)
     for r in counts:
         raw[r["bucket"]], own[r["bucket"]] = r["raw"], r["target"]
-    p = (raw + 1) / (raw + 1).sum()
-    q = (own + prior * buckets * p) / (own.sum() + prior * buckets)
-    return np.log(q / p)
+    raw, own = raw.reshape(KINDS, buckets) + 1, own.reshape(KINDS, buckets)
+    p = raw / raw.sum(axis=1, keepdims=True)
+    q = (own + prior * buckets * p) / (own.sum(axis=1, keepdims=True) + prior * buckets)
+    return np.log(q / p).ravel()
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, span: int) -> DataFrame:
     """``docs`` with log_weight."""
     kept = [f for f in docs.schema.fields if f.name not in ADDED]
     docs = docs.select(*[f.name for f in kept])
-    buckets = len(ratios)
+    buckets = len(ratios) // KINDS
 
     def each(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                b, row = ngram_buckets(part.column("text"), buckets)
-                n = np.bincount(row, minlength=part.num_rows)
-                total = np.bincount(row, ratios[b], minlength=part.num_rows)
-                weight = total / np.maximum(n, 1) * np.minimum(n, span)
+            for part in slices(batch, "text", 1 << 18):
+                weight = np.zeros(part.num_rows)
+                for b, row in ngram_buckets(part.column("text"), buckets):
+                    n = np.bincount(row, minlength=part.num_rows)
+                    total = np.bincount(row, ratios[b], minlength=part.num_rows)
+                    weight += total / np.maximum(n, 1) * np.minimum(n, span)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], [*part.schema.names, "log_weight"])
 
     return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double")
 
 
-def threshold(scored: list[tuple[float, int]], good_is_worth: float = 20.0) -> float:
+def threshold(scored: list[tuple[float, int]], good_is_worth: float = 60.0) -> float:
     """Where the labelled (weight, 1 good or -1 bad) part best, a good document lost counting as much as ``good_is_worth`` bad ones kept;
     in the middle of the gap that is found."""
     good = np.sort([w for w, y in scored if y > 0])
