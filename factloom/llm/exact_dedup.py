@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES
+from factloom.llm.common import SPACES, settle
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -30,7 +30,7 @@ def normal(text: Column) -> Column:
 
 def _runs(rows: DataFrame) -> DataFrame:
     """Sorted runs of equal texts: each row with its run's smallest identifier and size, and whether it is the first."""
-    ranged = rows.withColumn("_head", F.substring(normal(F.col("text")), 1, 32)).repartitionByRange("_head", "text_sha256", "_salt")
+    ranged = rows.repartitionByRange("_head", "text_sha256", "_salt")
     run = Window.partitionBy("_head", "text_sha256", "_salt", "_norm")
     return (
         ranged.withColumn("_norm", normal(F.col("text")))
@@ -43,14 +43,15 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def content_sort(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 (of the normalised text)."""
-    total = docs.count()
-    least = max(2.0, hot_share * total)
-    rows = docs.drop(*ADDED, "_salt", "_head", "_norm").withColumn("text_sha256", F.sha2(normal(F.col("text")), 256))
+    # written once: sampling splitters, counting and sorting then read digests and beginnings instead of making them again
+    norm = docs.drop(*ADDED, "_salt", "_head", "_norm").withColumn("_norm", normal(F.col("text")))
+    rows = settle(norm.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_head", F.substring("_norm", 1, 32)).drop("_norm"))
+    least = max(2.0, hot_share * rows.count())
     hot = rows.groupBy("text_sha256").count().where(F.col("count") > F.lit(least)).select("text_sha256", F.ceil(F.col("count") / F.lit(least)).alias("_parts"))
     hot = F.broadcast(hot)
     salted = rows.join(hot, "text_sha256", "left").withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).cast("long")).drop("_parts")
     # the hot texts' runs alone, one row a run; of runs that tie on the identifier the smallest salt wins
-    heads = _runs(rows.select("doc_id", "text", "text_sha256").join(hot, "text_sha256").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("long")).drop("_parts")).where("kept")
+    heads = _runs(rows.select("doc_id", "text", "text_sha256", "_head").join(hot, "text_sha256").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("long")).drop("_parts")).where("kept")
     merged = heads.groupBy("text_sha256").agg(
         F.min("keep_id").alias("_keep"), F.sum("group_size").alias("_size"), F.min(F.struct(F.col("keep_id").isNull(), "keep_id", "_salt"))["_salt"].alias("_first")
     )
