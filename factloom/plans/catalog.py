@@ -1,15 +1,473 @@
-"""The registered program-fact queries and their SQL twins."""
+"""The registered program-fact queries and their SQL twins, over facts derived from the driver's tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.functions import memory, names
+from factloom.operators import callgraph, commands, notes, pointsto, sites, symbols
+from factloom.operators.lineage import build_once, shared_dir
+from factloom.sources import files
+from factloom.sources import fixtures as X
+from factloom.streaming import replay
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- facts in SQL --------------------------------------------------------------------------------------------------
+
+_ALLOCATORS = "[" + ", ".join(f"'{s}'" for s in X.ALLOCATORS) + "]"
+FUNCS = f"""fn as (select c_custkey::int as vid, '_Zf' || c_custkey as name,
+  case c_custkey % 10 when 0 then 'std' when 1 then 'llvm' when 2 then '__gnu_cxx' else lower(c_mktsegment) end as ns, ns || '::f_' || c_custkey as demangled,
+  case when c_custkey % 25 = 0 then {_ALLOCATORS}[c_custkey // 25 % {len(X.ALLOCATORS)} + 1] else '_Zf' || c_custkey end as symbol,
+  c_custkey % 17 = 3 as is_decl, c_custkey % 50 = 1 as is_intrinsic, (c_nationkey % 8)::int as signature, (c_custkey % 5)::int as layer, c_custkey % 3 = 0 as is_taken from customer)"""
+INDEX = FUNCS + f""", raw as (select vid, name, demangled, ns from fn),
+ix as (select name, vid, true as is_real from raw union all select demangled, vid, false from raw union all select 'f_' || vid, vid, false from raw
+  union all select s_name, ({X.GLOBAL} + s_suppkey)::int, true from supplier)"""
+SITES = f"""cs as (select ({X.INST} + o_orderkey)::int as callsite, o_custkey::int as caller, case when o_orderstatus = 'F' then 'direct' else 'indirect' end as kind,
+  ((o_orderkey * 31 + o_custkey * 17) % (select count(*) from customer))::int as operand, not (o_orderstatus = 'P' and o_orderkey % 64 = 0) as known, o_orderkey % 40 = 16 as empty,
+  ((o_orderkey * 3 + o_custkey) % 8)::int as signature, case when o_orderkey % 3 = 0 then (o_orderkey % 5)::int end as layer from orders where o_orderkey % 8 = 0)"""
+EDGES = SITES + """, edges as (select case when known then kind else 'unknown' end as type, caller, callsite, case when known then operand end as callee from cs)"""
+CONS = """c0 as (select case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' else 'COPY' end op,
+  l_partkey % (np // 5) dst, l_orderkey * 13 + l_suppkey * 7 h, l_suppkey, np from lineitem cross join (select count(*) np from part) where (l_orderkey * 7 + l_partkey) % 80 = 0),
+cn as (select distinct op, dst::int as dst, (case when op = 'ADDR' then -1 - ((dst // 400) * 50 + l_suppkey % least(50, np // 40)) else (dst // 400) * 400 + h % least(400, np // 5) end)::int as src from c0)"""
+PTS = "recursive " + CONS + """, sol(v, o, n) using key (v, o) as (
+  select dst, src, 0 from cn where op = 'ADDR'
+  union
+  (select x.v, x.o, 1 from (
+     select cn.dst v, p.o o from recurring.sol p join cn on cn.op = 'COPY' and cn.src = p.v
+     union select cn.dst, p2.o from recurring.sol p join cn on cn.op = 'LOAD' and cn.src = p.v join recurring.sol p2 on p2.v = p.o
+     union select p.o, p2.o from recurring.sol p join cn on cn.op = 'STORE' and cn.dst = p.v join recurring.sol p2 on p2.v = cn.src) x
+   where not exists (select 1 from recurring.sol q where q.v = x.v and q.o = x.o))),
+pts as (select v as ptr, o as site from sol)"""
+#: Pointers: every variable below a bound that the constraints name; every 97th isn't known.
+PTRS = """ptrs as (select distinct n as ptr, n % 97 <> 5 as known from (select dst as n from cn union all select src from cn where op <> 'ADDR') where n >= 0)"""
+TRACE = """tr as (select event_id as seq, user_id as stream_id, case event_type when 'purchase' then 0 when 'signup' then 1 when 'error' then 2 else 8 end as action,
+  (case when event_type in ('view', 'click') then k else event_id end)::int as vid, k * 16 + case when event_type in ('view', 'click') then v % 16 else 0 end as ptr, v % 64 + 1 as size
+  from (select event_id, user_id, event_type, floor(value)::bigint as v, (props ->> '$.k')::bigint as k from events))"""
+HITS = TRACE + """, rg as (select *, lead(seq) over (partition by stream_id, ptr order by seq) as until from tr where action < 3),
+met as (select p.stream_id, p.seq, p.vid as ptr, p.ptr as addr, r.ptr as base, r.size, r.vid as site,
+    row_number() over (partition by p.stream_id, p.seq order by r.ptr desc) as k
+  from tr p join rg r on r.stream_id = p.stream_id and r.action < 2 and r.ptr <= p.ptr and r.seq < p.seq and (r.until is null or r.until > p.seq) where p.action = 8),
+hits as (select stream_id, seq, ptr, site from met where k = 1 and addr < base + size)"""
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.name_index(X.values(spark, d))
+
+
+def _pts(spark: SparkSession, d: str) -> DataFrame:
+    """Solved once for each session and input, as every points-to query starts from it."""
+    return build_once(spark, ("pts", d), lambda: pointsto.inclusion(X.constraints(spark, d)))
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    c = X.constraints(spark, d)
+    named = c.select(F.col("dst").alias("ptr")).unionByName(c.where("op <> 'ADDR'").select(F.col("src").alias("ptr"))).where("ptr >= 0").distinct()
+    return named.select("ptr", (F.col("ptr") % 97 != 5).alias("known"))
+
+
+# ---- symbols -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {FUNCS} select (select count(*) from supplier) as n_globals, (select count(*) from fn where not is_decl) as n_functions, (select count(*) from fn where is_decl) as n_declared, (select count(*) from fn where is_intrinsic) as n_intrinsics, (select count(*) from orders) as n_instructions, (select count(*) from orders where o_orderkey % 3 = 0) as n_pointers, (select count(*) from orders where o_orderkey % 8 = 0) as n_calls, false as has_main, (select count(*) from part) as n_structs")
+def q_stat(spark, d):
+    return symbols.statistics(X.values(spark, d), X.struct_types(spark, d))
+
+
+@query(f"with {INDEX} select min(name) as name, vid from ix where name like 'automobile::f\\_1%' escape '\\' group by vid")
+def q_list_prefix(spark, d):
+    return symbols.list_prefix(_index(spark, d), "@automobile::f_1")
+
+
+@query(f"with {INDEX} select min(ix.name) as name, vid from ix where ix.name like 'f\\_%' escape '\\' and vid not in (select vid from fn where ns in ('std', 'llvm', '__gnu_cxx')) group by vid")
+def q_list_silenced(spark, d):
+    return symbols.without_silenced(symbols.list_prefix(_index(spark, d), "f_"), X.values(spark, d))
+
+
+@query(f"with {INDEX}, w as (select '_Zf' || (c_custkey * 3) as name from customer where c_custkey % 7 = 0 union all select demangled from fn where vid % 50 = 0) select w.name, count(ix.vid) as n_matches, case when count(ix.vid) = 1 then min(ix.vid) end as vid, case when count(ix.vid) = 0 then 'not found' when count(ix.vid) > 1 then 'ambiguous' end as problem from w left join ix on ix.name = w.name and ix.is_real group by w.name")
+def q_exact_lookup(spark, d):
+    raw = X.table(spark, d, "customer").where("c_custkey % 7 = 0").selectExpr("concat('_Zf', c_custkey * 3) as name")
+    return symbols.exact_lookup(raw.unionByName(X.functions(spark, d).where("vid % 50 = 0").selectExpr("demangled as name")), _index(spark, d))
+
+
+@query(f"with {INDEX} select * from ix")
+def q_ns_suffix_index(spark, d):
+    return _index(spark, d)
+
+
+@query(f"""with u as (select ({X.INST} + o_orderkey // 2)::int as def_vid, ({X.INST} + o_orderkey)::int as user_vid from orders union all select ({X.GLOBAL} + o_orderkey % (select count(*) from supplier))::int, ({X.INST} + o_orderkey)::int from orders),
+n as (select def_vid, count(*) as n, list_sort(list(distinct user_vid)) as users from u group by def_vid)
+select ({X.INST} + o_orderkey)::int as vid, 'Inst' as kind, case o_orderkey % 8 when 0 then 'call' when 1 then 'alloca' when 2 then 'load' when 3 then 'store' else 'other' end as opcode,
+  case when o_orderkey % 11 <> 0 then (o_orderkey % 500 + 1)::int end as line, coalesce(n, 0) as n_uses, case when n > 10 then null else coalesce(users, []) end as users
+from orders left join n on n.def_vid = {X.INST} + o_orderkey where o_orderkey between 100 and 399""")
+def q_debug_window(spark, d):
+    return symbols.debug_window(X.values(spark, d), X.uses(spark, d), X.debug_locs(spark, d), X.INST + 100, 300)
+
+
+@query("select o_custkey::int as func_vid, min('src/' || o_custkey % 7 || '.cc') as path, min(o_orderkey % 500 + 1)::int as line_start, max(o_orderkey % 500 + 1)::int as line_end from orders where o_orderkey % 11 <> 0 group by o_custkey")
+def q_function_ranges(spark, d):
+    return symbols.function_ranges(X.values(spark, d), X.debug_locs(spark, d))
+
+
+@query(f"""with s as (select ({X.STRUCT} + p_partkey)::int as vid, 'struct.' || replace(p_brand, '#', '_') || '::' || p_type || '.' || p_partkey as name, p_type as class_name from part),
+m as (select p_type as class_name, p_partkey as func_vid, 'src/' || p_partkey % 7 || '.cc' as path, (p_partkey % 90 + 1)::int as line_start, (p_partkey % 90 + p_size)::int as line_end from part where p_partkey % 3 = 1 and p_type <> 'PROMO'),
+f as (select class_name, arg_min(path, func_vid) as path, arg_min(line_start, func_vid) as line_start, max(line_end) as line_end from m group by class_name)
+select s.vid, s.name, s.class_name, f.path, f.line_start, f.line_end from s join f using (class_name)""")
+def q_struct_debug(spark, d):
+    methods = X.table(spark, d, "part").where("p_partkey % 3 = 1 and p_type <> 'PROMO'").selectExpr("p_type as class_name", "p_partkey as func_vid", "concat('src/', p_partkey % 7, '.cc') as path", "int(p_partkey % 90 + 1) as line_start", "int(p_partkey % 90 + p_size) as line_end")
+    return symbols.struct_locations(X.struct_types(spark, d), methods)
+
+
+@query(f"select ({X.GLOBAL} + s_suppkey)::int as vid from supplier union all select ({X.INST} + o_orderkey)::int from orders where o_orderkey % 3 = 0")
+def q_candidate_pointers(spark, d):
+    return symbols.candidate_pointers(X.values(spark, d))
+
+
+# ---- allocation ----------------------------------------------------------------------------------------------------
+
+_MEM = "mem(symbol, fn_group, is_alloc, is_free) as (values ('malloc', 'malloc', true, false), ('calloc', 'calloc', true, false), ('realloc', 'realloc', true, true), ('_Znwm', 'new', true, false), ('_Znam', 'new_array', true, false), ('free', 'free', false, true), ('strdup', 'strdup', true, false), ('strndup', 'strndup', true, false), ('aligned_alloc', 'aligned_alloc', true, false), ('reallocarray', 'reallocarray', true, true), ('_ZdlPv', 'delete', false, true))"
+_ALLOC = f"""{FUNCS}, {EDGES}, {_MEM}, df as (select vid from fn where not is_decl and not is_intrinsic),
+al as (select 'global' as type, ({X.GLOBAL} + s_suppkey)::int as vid, null::int as func_vid from supplier union all select 'function', vid, vid from df
+  union all select 'stack', ({X.INST} + o_orderkey)::int, o_custkey::int from orders join df on df.vid = o_custkey where o_orderkey % 8 = 1
+  union all select 'heap', callsite, caller from edges join fn on fn.vid = callee and type = 'direct' join mem on mem.symbol = fn.symbol and is_alloc join df on df.vid = caller)"""
+
+
+def _direct_calls(spark, d):
+    return X.call_edges(spark, d).where("type = 'direct'").join(X.functions(spark, d).select(F.col("vid").alias("callee"), "symbol"), "callee").select("callsite", "symbol")
+
+
+def _sites(spark, d):
+    return sites.allocation_sites(X.values(spark, d), _direct_calls(spark, d), memory.mem_fn(spark))
+
+
+@query(f"with {_ALLOC} select * from al")
+def q_site_all(spark, d):
+    return _sites(spark, d)
+
+
+@query(f"with {_ALLOC} select * from al where type in ('stack', 'heap') and func_vid < 40")
+def q_site_fn(spark, d):
+    return sites.sites_of(_sites(spark, d), X.functions(spark, d).where("vid < 40").select(F.col("vid").alias("func_vid")))
+
+
+@query(f"with {FUNCS}, {_MEM} select fn.vid, symbol, fn_group, is_alloc, is_free from fn join mem using (symbol)")
+def q_mem_class(spark, d):
+    return X.functions(spark, d).join(F.broadcast(memory.mem_fn(spark)), "symbol").select("vid", "symbol", "fn_group", "is_alloc", "is_free")
+
+
+@query(f"""with {FUNCS}, {EDGES}, {_MEM}, a as (select callsite, fn_group, (callsite % 64)::bigint as a0, (caller % 16 + 1)::bigint as a1, (callsite % 5 + 1)::bigint as a2, (callsite % 23)::bigint as n from edges join fn on fn.vid = callee and type = 'direct' join mem using (symbol))
+select callsite, fn_group, case when fn_group in ('malloc', 'new') then a0 when fn_group = 'new_array' then a0 + 1 when fn_group in ('aligned_alloc', 'realloc') then a1 when fn_group = 'calloc' then a0 * a1 when fn_group = 'reallocarray' then a1 * a2 when fn_group = 'strdup' then n + 1 when fn_group = 'strndup' then least(n, a1) + 1 end as size from a""")
+def q_mem_size_rules(spark, d):
+    own = X.call_edges(spark, d).where("type = 'direct'").join(X.functions(spark, d).select(F.col("vid").alias("callee"), "symbol"), "callee").join(F.broadcast(memory.mem_fn(spark)), "symbol")
+    number = lambda e: F.expr(f"bigint({e})")
+    return own.select("callsite", "fn_group", memory.allocated_size(F.col("fn_group"), number("callsite % 64"), number("caller % 16 + 1"), number("callsite % 5 + 1"), number("callsite % 23")).alias("size"))
+
+
+# ---- call graph ----------------------------------------------------------------------------------------------------
+
+_BUILT = f"""{FUNCS}, {SITES}, tg as (select callsite as ptr, operand as site from cs where kind = 'indirect' and known and not empty union all select callsite, (operand + 1) % (select count(*) from customer)::int from cs where kind = 'indirect' and known and not empty and callsite % 24 = 0),
+built as (select 'direct' as type, caller, callsite, operand as callee from cs join fn on fn.vid = operand where kind = 'direct' and not is_intrinsic
+  union all select 'unknown', caller, callsite, null from cs where kind = 'indirect' and not known
+  union all select 'indirect', caller, callsite, site from cs join tg on tg.ptr = callsite join fn on fn.vid = site where kind = 'indirect' and known and not is_intrinsic)"""
+
+
+def _targets(spark, d):
+    own = X.call_sites(spark, d).where("kind = 'indirect' and known and not empty")
+    n = X.table(spark, d, "customer").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    more = own.where("callsite % 24 = 0").join(F.broadcast(n)).selectExpr("callsite as ptr", "(operand + 1) % n as site")
+    return own.selectExpr("callsite as ptr", "operand as site").unionByName(more)
+
+
+def _built(spark, d):
+    own = X.call_sites(spark, d)
+    return callgraph.build_edges(own, X.functions(spark, d), _targets(spark, d), own.selectExpr("callsite as ptr", "known"))
+
+
+@query(f"with {_BUILT} select * from built")
+def q_edge_build(spark, d):
+    return _built(spark, d)
+
+
+_PATCH = f"""pt as (select o_orderkey as seq, o_custkey as a, (o_orderkey * 13) % ((select count(*) from customer) + 5) as b from orders where o_orderkey % 800 = 7)"""
+
+
+@query(f"with {_PATCH} select seq, 'indirect' as type, a::int as caller, null::int as callsite, b::int as callee from pt where b < (select count(*) from customer)")
+def q_patch_edges(spark, d):
+    return callgraph.patch_edges(X.patches(spark, d), _index(spark, d))[0]
+
+
+@query(f"with {_PATCH} select seq, '_Zf' || a as caller_name, '_Zf' || b as callee_name from pt where b >= (select count(*) from customer)")
+def q_patch_problems(spark, d):
+    return callgraph.patch_edges(X.patches(spark, d), _index(spark, d))[1]
+
+
+@query(f"with {EDGES} select * from edges where caller % 50 = 7")
+def q_callout(spark, d):
+    return callgraph.callout(X.call_edges(spark, d), X.functions(spark, d).where("vid % 50 = 7").select(F.col("vid").alias("caller")))
+
+
+@query(f"with {EDGES} select arg_min(type, callsite) as type, caller, min(callsite) as callsite, callee from edges group by caller, callee")
+def q_callout_dedup(spark, d):
+    return callgraph.first_of_pairs(X.call_edges(spark, d))
+
+
+@query(f"with {EDGES} select 'known' as section, * from edges where callee % 50 = 7 union all select 'unknown', * from edges where type = 'unknown'")
+def q_callin(spark, d):
+    return callgraph.callin(X.call_edges(spark, d), X.functions(spark, d).where("vid % 50 = 7").select(F.col("vid").alias("callee")))
+
+
+@query(f"with {_BUILT} select callsite, count(callee) as n_targets, coalesce(list_sort(list(distinct callee) filter (where callee is not null)), []) as targets, max((type = 'unknown')::int) = 1 as unknown from built group by callsite")
+def q_callsite_targets(spark, d):
+    return callgraph.callsite_targets(_built(spark, d))
+
+
+_REACH = f"recursive {EDGES}, r as (select caller as source, callee as node from edges where caller < 20 and callee is not null union select r.source, e.callee from r join edges e on e.caller = r.node where e.callee is not null)"
+
+
+@query(f"with {_REACH} select source, node from r")
+def q_reach_set(spark, d):
+    return callgraph.reach_set(X.call_edges(spark, d), X.functions(spark, d).where("vid < 20").select("vid")).select("source", "node")
+
+
+_PAIRS = "pr as (select s.c_custkey::int as source, t.c_custkey::int as target from customer s join customer t on s.c_custkey < 20 and t.c_custkey % 31 = 3)"
+
+
+def _pairs(spark, d):
+    targets = F.array(*[F.lit(k) for k in range(3, 100_000, 31)])
+    n = F.broadcast(X.table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n")))
+    return X.functions(spark, d).where("vid < 20").select(F.col("vid").alias("source")).join(n).select("source", F.explode(F.filter(targets, lambda t: t < F.col("n"))).alias("target"))
+
+
+@query(f"with {_REACH}, {_PAIRS}, b as (select distinct source from (select source, node from r union all select source, source from pr) x where node in (select caller from edges where type = 'unknown')) select source, target, exists (select 1 from r where r.source = pr.source and r.node = pr.target) or source in (select source from b) as reachable from pr")
+def q_reach(spark, d):
+    return callgraph.reachable(X.call_edges(spark, d), _pairs(spark, d))
+
+
+@query(f"with {_REACH}, {_PAIRS} select source, target, exists (select 1 from r where r.source = pr.source and r.node = pr.target) as reachable from pr")
+def q_reach_ignore_unknown(spark, d):
+    return callgraph.reachable(X.call_edges(spark, d), _pairs(spark, d), ignore_unknown=True)
+
+
+@query()
+def q_reach_path(spark, d):
+    """A shortest path is one of several, so the tests check it instead of SQL."""
+    edges = X.call_edges(spark, d)
+    far = callgraph.reach_set(edges, X.functions(spark, d).where("vid < 3").select("vid")).orderBy(F.desc("hops"), "source", "node").first()
+    return callgraph.path(edges, far["source"], far["node"]) if far else edges.where("false").withColumn("hop", F.lit(0))
+
+
+@query(f"with recursive {EDGES}, t as (select caller as root, caller, callee, 1 as depth from edges where caller < 20 union select t.root, e.caller, e.callee, t.depth + 1 from t join edges e on e.caller = t.callee where t.depth < 5), m as (select root, caller, callee, min(depth)::int as depth from t group by root, caller, callee) select * from m")
+def q_call_tree_depth(spark, d):
+    return callgraph.call_tree(X.call_edges(spark, d), X.functions(spark, d).where("vid < 20").select("vid"), 5)
+
+
+@query()
+def q_call_tree_silenced(spark, d):
+    quiet = X.functions(spark, d).where(names.silenced(F.col("demangled"))).select("vid")
+    return callgraph.call_tree(X.call_edges(spark, d), X.functions(spark, d).where("vid < 20").select("vid"), 5, quiet)
+
+
+@query(f"with {_BUILT} select callsite, count(*) as n_targets, string_agg(name, ',' order by name) as targets from built join fn on fn.vid = callee where type = 'indirect' group by callsite")
+def q_indirect_targets(spark, d):
+    return callgraph.indirect_targets(_built(spark, d), X.functions(spark, d).select("vid", "name"))
+
+
+@query(f"with {_BUILT} select count(*) filter (where type = 'direct') as n_direct, count(*) filter (where type = 'indirect') as n_indirect, count(*) filter (where type = 'unknown') as n_unknown, count(distinct callsite) as n_sites, count(distinct caller) as n_callers, count(distinct callee) as n_callees from built")
+def q_indirect_stats(spark, d):
+    return callgraph.statistics(_built(spark, d))
+
+
+# ---- points-to -----------------------------------------------------------------------------------------------------
+
+
+@query(f"with recursive {CONS}, cp(v, o) as (select dst, src from cn where op = 'ADDR' union select cn.dst, cp.o from cp join cn on cn.op = 'COPY' and cn.src = cp.v) select v as ptr, o as site from cp")
+def q_pts_copy(spark, d):
+    return pointsto.copy_closure(X.constraints(spark, d))
+
+
+@query(f"with {PTS} select ptr, site from pts")
+def q_pts_andersen(spark, d):
+    return pointsto.inclusion(X.constraints(spark, d))
+
+
+_UNIFY = f"""recursive {CONS}, tm as (select distinct n * 3::bigint + k as t from (select dst as n from cn union all select src from cn), range(3) r(k)),
+lk0 as (select dst * 3::bigint + case op when 'STORE' then 2 else 1 end as x, src * 3::bigint + case op when 'ADDR' then 0 when 'LOAD' then 2 else 1 end as y from cn),
+lk as (select x, y from lk0 union select y, x from lk0),
+lab(t, l) using key (t) as (
+  select t, t as l from tm
+  union
+  (select n.t, n.l from (select t, min(l) as l from (
+      select lk.x as t, r.l from lk join recurring.lab r on r.t = lk.y
+      union all
+      select a.t + 1 as t, m.l from recurring.lab a join (select b.l as c, min(e.l) as l from recurring.lab b join recurring.lab e on e.t = b.t + 1 where ((b.t % 3) + 3) % 3 < 2 group by b.l) m on m.c = a.l where ((a.t % 3) + 3) % 3 < 2) group by t) n
+   join recurring.lab c on c.t = n.t where n.l < c.l))"""
+
+
+@query(f"with {_UNIFY} select floor(t / 3.0)::int as node, (((t % 3) + 3) % 3)::int as level, l as label from lab")
+def q_pts_steensgaard(spark, d):
+    return pointsto.unification(X.constraints(spark, d))
+
+
+@query(f"with {_UNIFY}, tl as (select floor(t / 3.0)::int as node, (((t % 3) + 3) % 3)::int as level, l as label from lab) select a.node as ptr, b.node as site from tl a join tl b using (label) where a.level = 1 and a.node >= 0 and b.level = 0 and b.node < 0")
+def q_pts_from_alias(spark, d):
+    return pointsto.unification_pts(pointsto.unification(X.constraints(spark, d)))
+
+
+@query(f"with {FUNCS}, {SITES}, j as (select callsite, cs.layer as want, fn.vid as callee, fn.layer as have from cs join fn using (signature) where kind = 'indirect' and is_taken), e as (select callsite, bool_or(coalesce(want = have, false)) as exact from j group by callsite) select callsite, callee from j join e using (callsite) where not exact or want = have")
+def q_pts_typebased(spark, d):
+    return pointsto.type_based(X.call_sites(spark, d), X.functions(spark, d))
+
+
+@query(f"with {PTS}, {PTRS} select ptr, known, case when known then count(site) end as n_sites, case when known then coalesce(list_sort(list(distinct site) filter (where site is not null)), []) end as sites from ptrs left join pts using (ptr) where ptr % 10 = 3 or ptr % 97 = 5 group by ptr, known")
+def q_pts_of(spark, d):
+    s = _status(spark, d)
+    return pointsto.pts_of(s.where("ptr % 10 = 3 or ptr % 97 = 5").select("ptr"), _pts(spark, d), s)
+
+
+@query(f"with {PTS}, {PTRS}, q as (select ptr, -1 - ((ptr // 400) * 50 + ptr * 7 % 50)::int as site from ptrs) select ptr, site, case when not known or exists (select 1 from pts where pts.ptr = q.ptr and pts.site = q.site) then 'May' else 'No' end as result from q join ptrs using (ptr)")
+def q_pt_modality(spark, d):
+    s = _status(spark, d)
+    return pointsto.pt(s.selectExpr("ptr", "int(-1 - ((ptr div 400) * 50 + ptr * 7 % 50)) as site"), _pts(spark, d), s)
+
+
+_ALIAS = "q as (select distinct least(a.ptr, b.ptr) as a, greatest(a.ptr, b.ptr) as b from ptrs a join ptrs b on b.ptr = (a.ptr // 400) * 400 + (a.ptr * 13 + 5) % 400)"
+
+
+def _asked(spark, d):
+    s = _status(spark, d)
+    return s.selectExpr("ptr as a", "int((ptr div 400) * 400 + (ptr * 13 + 5) % 400) as b").join(s.select(F.col("ptr").alias("b")), "b").select("a", "b")
+
+
+@query(f"with {PTS}, {PTRS}, {_ALIAS} select q.a, q.b, case when not x.known or not y.known or exists (select 1 from pts p join pts r on p.site = r.site where p.ptr = q.a and r.ptr = q.b) then 'May' else 'No' end as result from q join ptrs x on x.ptr = q.a join ptrs y on y.ptr = q.b")
+def q_alias_pairs(spark, d):
+    return pointsto.alias(_asked(spark, d), _pts(spark, d), _status(spark, d))
+
+
+@query(f"with {PTS} select distinct p.ptr, r.ptr as other from pts p join pts r on p.site = r.site and p.ptr <> r.ptr where p.ptr >= 0 and p.ptr % 40 = 3")
+def q_alias_set(spark, d):
+    return pointsto.alias_set(_status(spark, d).where("ptr % 40 = 3").select("ptr"), _pts(spark, d))
+
+
+_FIELDS = "fo as (select distinct site as base, site - 1 as field from pts where site % 2 = 0)"
+
+
+@query(f"with {PTS}, {_FIELDS} select ptr, site from pts union select ptr, field from pts join fo on fo.base = pts.site")
+def q_alias_field_expand(spark, d):
+    p = _pts(spark, d)
+    return pointsto.expand_fields(p, p.where("site % 2 = 0").selectExpr("site as base", "site - 1 as field").distinct())
+
+
+@query(f"with {PTS}, {PTRS}, s as (select ptr, known, count(site) as n from ptrs left join pts using (ptr) group by ptr, known) select count(*) as n_pointers, count(*) filter (where not known) as n_unknown, count(*) filter (where known and n = 0) as n_empty, max(n) as largest, sum(n)::bigint as n_facts from s")
+def q_crash_sweep(spark, d):
+    return pointsto.sweep(_pts(spark, d), _status(spark, d))
+
+
+@query(f"""with {PTS}, {PTRS}, {EDGES}, {INDEX}, qs as (select o_orderkey as qid, o_orderkey % 5 as k, o_custkey as x, (o_custkey * 7) % 400 as y from orders where o_orderkey % 100 = 0)
+select qid, type || ' TO ' || case when type = 'unknown' then 'UNKNOWN' else callee::varchar end || ' BY ' || callsite as line from qs join edges on caller = x where k = 0
+union all select qid, case when not coalesce(known, false) then 'unknown' else site::varchar end from qs left join ptrs on ptrs.ptr = x left join pts on pts.ptr = x and known where k = 1 and (not coalesce(known, false) or site is not null)
+union all select qid, case when not coalesce(known, false) or exists (select 1 from pts where pts.ptr = x and pts.site = -y) then 'May' else 'No' end from qs left join ptrs on ptrs.ptr = x where k = 2
+union all select qid, vid || ' ' || min(name) from qs join ix on starts_with(name, 'f_' || x) where k = 3 group by qid, vid
+union all select qid, 'syntax: unknown command jump' from qs where k = 4""")
+def q_command_batch(spark, d):
+    q = "case o_orderkey % 5 when 0 then concat('callout ', o_custkey) when 1 then concat(' pts  ', o_custkey) when 2 then concat('pt ', o_custkey, ' -', (o_custkey * 7) % 400) when 3 then concat('l @f_', o_custkey) else 'jump 1' end"
+    lines = X.table(spark, d, "orders").where("o_orderkey % 100 = 0").selectExpr("o_orderkey as qid", f"{q} as line")
+    return commands.answer(lines, X.call_edges(spark, d), _pts(spark, d), _status(spark, d), _index(spark, d))
+
+
+# ---- traces --------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {HITS} select * from hits")
+def q_trace_batch(spark, d):
+    return replay.replay_batch(X.trace(spark, d))
+
+
+@query(f"with {HITS} select ptr, list_sort(list(distinct site)) as sites from hits group by ptr")
+def q_observed_pts(spark, d):
+    return replay.observed(replay.replay_batch(X.trace(spark, d)))
+
+
+@query()
+def q_trace_context(spark, d):
+    return replay.replay_scoped(X.scoped_trace(spark, d), 2)
+
+
+@query(f"with {HITS} select stream_id, seq, ptr, site, []::int[] as ctx from hits")
+def q_trace_stateful(spark, d):
+    return replay.replay_scoped(X.trace(spark, d), 2)
+
+
+@query(f"with {HITS} select stream_id, seq, ptr, site, []::int[] as ctx from hits")
+def q_trace_stream(spark, d):
+    """The same by Structured Streaming: events as a file stream, a stream's state kept between batches."""
+    out = f"{shared_dir(spark).rstrip('/')}/replayed-{uuid.uuid4().hex}"
+    # a glob, as a file source takes directories and globs
+    events = spark.readStream.schema(X.table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    hits = replay.replay_stream(X.trace_of(events), 2)
+    hits.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(replay.HITS).parquet(out)
+
+
+@query(f"with {HITS}, t as (select k.vid as site, count(*) as n from tr k where k.action < 2 group by k.vid) select count(*) as n_hits, count(distinct ptr) as n_pointers, count(distinct hits.site) as n_sites, count(*) filter (where t.site is null) as n_unallocated from hits left join t on t.site = hits.site")
+def q_observed_vs_static(spark, d):
+    """Every site observed is one that was allocated."""
+    t = X.trace(spark, d)
+    made = t.where("action in (0, 1)").select(F.col("vid").alias("site"), F.lit(True).alias("made")).distinct()
+    own = replay.replay_batch(t).join(made, "site", "left")
+    return own.agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("ptr").alias("n_pointers"), F.countDistinct("site").alias("n_sites"), F.count_if(F.col("made").isNull()).alias("n_unallocated"))
+
+
+# ---- notes and sources ---------------------------------------------------------------------------------------------
+
+_NOTES = "nt as (select url as path, 'f_' || page_id as heading, (page_id % 3)::int as ord, substr(html, 1, 80) as text from pages)"
+
+
+def _more(spark, d):
+    return X.notes(spark, d).where("ord = 1").selectExpr("path", "heading", "concat('more on ', heading) as text")
+
+
+@query(f"with {_NOTES} select * from nt union all select path, heading, 2::int, 'more on ' || heading from nt where ord = 1")
+def q_notes_append(spark, d):
+    return notes.append(X.notes(spark, d), _more(spark, d))
+
+
+@query(f"with {_NOTES} select path, case when ord = 2 then 'none' else heading end as heading, case when ord = 2 then null else text end as body from nt")
+def q_notes_view(spark, d):
+    n = X.notes(spark, d)
+    return notes.view(n, n.selectExpr("path", "if(ord = 2, 'none', heading) as heading"))
+
+
+@query(f"with {_NOTES} select * from nt where ord <> 0")
+def q_notes_delete(spark, d):
+    n = X.notes(spark, d)
+    return notes.delete(n, n.where("ord = 0").select("path", "heading"))
+
+
+@query("with l as (select source || '/' || doc_id as path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as x from documents) select path, i as line_no, x[i] as line from l, unnest(range(2, 5)) t(i) where i <= len(x)")
+def q_source_lines(spark, d):
+    return files.split_lines(X.source_texts(spark, d)).where("line_no between 2 and 4").withColumn("line_no", F.col("line_no").cast("long"))
