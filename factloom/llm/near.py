@@ -330,10 +330,15 @@ def _link_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: i
     return a, b
 
 
-def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, cluster_rows: int = 512) -> DataFrame:
+def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+
+
+def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, cluster_rows: int = 512, of: str = "hashes", sets_of=_hashes) -> DataFrame:
     """a, b: exact links (similarity at least num / den) inside candidate clusters, as spanning forests.
 
-    ``sets``: id, hashes (binary of sorted distinct uint64); ``clusters``: id, component, members.
+    ``sets``: id and the column ``of``, from which ``sets_of`` makes sorted distinct uint64 (by default it holds them as
+    binary; of short texts the text itself travels better); ``clusters``: id, component, members.
     """
     parts = F.ceil(F.col("members") / F.lit(cluster_rows)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
@@ -348,7 +353,7 @@ def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, clu
             return LINKS.empty_table()
         table = table.sort_by("id")
         side = table.column("side").to_numpy()
-        a, b = _link_sets(table.column("id").to_numpy(), side, [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")], num, den)
+        a, b = _link_sets(table.column("id").to_numpy(), side, sets_of(table.column(of)), num, den)
         return pa.table([a, b], schema=LINKS)
 
     return sets.join(dealt, "id").groupBy("component", "lo", "hi").applyInArrow(each, "a long, b long")

@@ -119,8 +119,7 @@ def components_of(found: DataFrame, kind: Kind, num: int, den: int, least: int,
     """id, component of the distinct units that verified links join."""
     distinct = settle(found.dropDuplicates(["id"]).select("id", "sig", "unit"))
     close = close_units(distinct, kind, least, item_rows, list_rows)
-    full = full_sets(distinct.join(close.select("id"), "id").select("id", "unit"), kind)
-    return near.components(near.verify(full, close, num, den))
+    return verified(distinct, close, kind, num, den)
 
 
 def close_units(distinct: DataFrame, kind: Kind, least: int, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
@@ -132,17 +131,17 @@ def close_units(distinct: DataFrame, kind: Kind, least: int, item_rows: int = 81
     return cut(near.with_members(near.components(near.collide(lists, kind.k, least))))
 
 
-def full_sets(units: DataFrame, kind: Kind) -> DataFrame:
-    """id, hashes (binary of sorted distinct uint64) of units (id, unit)."""
+def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
+    """id, component of units (id, unit) that links with full sets join; the units' texts travel, not their sets."""
 
-    def sets(batches):
-        for batch in batches:
-            for part in slices(batch, "unit", SLICE):
-                u = kind.alone(*packed(part.column("unit")))
-                h, bounds = u.distinct_sets()
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(u.row)), binaries(h, bounds)], ["id", "hashes"])
+    def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+        out = []
+        for part in slices(pa.table({"unit": column}), "unit", SLICE):
+            h, bounds = kind.alone(*packed(part.column("unit"))).distinct_sets()
+            out += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
 
-    return units.mapInArrow(sets, "id long, hashes binary")
+    return near.components(near.verify(units.select("id", "unit"), close, num, den, of="unit", sets_of=sets_of))
 
 
 def occurrences(found: DataFrame, joined: DataFrame) -> DataFrame:
