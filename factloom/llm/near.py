@@ -13,13 +13,12 @@ are packed arrays, so that numpy works inside tasks and Spark deals out the work
 4. ``components``: distributed union-find (large star, small star) over these.
 5. ``verify``: a candidate cluster's full sets meet; pairs are compared exactly, but for those that verified links
    already join, and a spanning forest of exact links is returned. A cluster of more than ``cluster_rows`` items is dealt
-   out to pairs of blocks of it.
+   out to pairs of blocks of it; smaller ones share packs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -334,35 +333,40 @@ def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
 
-def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, cluster_rows: int = 512, of: str = "hashes", sets_of=_hashes) -> DataFrame:
+def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, cluster_rows: int = 512, of: str = "hashes", sets_of=_hashes, pack_rows: int = 1024) -> DataFrame:
     """a, b: exact links (similarity at least num / den) inside candidate clusters, as spanning forests.
 
     ``sets``: id and the column ``of``, from which ``sets_of`` makes sorted distinct uint64 (by default it holds them as
     binary; of short texts the text itself travels better); ``clusters``: id, component, members.
     """
+    packs = max(8, -(-clusters.count() // pack_rows))
     parts = F.ceil(F.col("members") / F.lit(cluster_rows)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = clusters.select("id", "component", parts.alias("parts"), own.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = F.col("parts") > 1
     dealt = dealt.select(
-        "id", "component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+        "id", "component", large.alias("large"), F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"),
+        F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
 
     def each(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
             return LINKS.empty_table()
-        table = table.sort_by("id")
-        side = table.column("side").to_numpy()
-        a, b = _link_sets(table.column("id").to_numpy(), side, sets_of(table.column(of)), num, den)
+        table = table.sort_by([("component", "ascending"), ("id", "ascending")])
+        ids, side, sets = table.column("id").to_numpy(), table.column("side").to_numpy(), sets_of(table.column(of))
+        _, start, end = groups_of(table.column("component").to_numpy())
+        a, b = [], []
+        for s, e in zip(start, end, strict=True):
+            if e - s > 1:
+                x, y = _link_sets(ids[s:e], side[s:e], sets[s:e], num, den)
+                a += x
+                b += y
         return pa.table([a, b], schema=LINKS)
 
-    return sets.join(dealt, "id").groupBy("component", "lo", "hi").applyInArrow(each, "a long, b long")
+    return sets.join(dealt, "id").groupBy("large", "pack", "lo", "hi").applyInArrow(each, "a long, b long")
 
 
 def with_members(found: DataFrame) -> DataFrame:
     """id, component, members (how many ids the component has)."""
     return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-
-
-def pandas_rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_pandas(pd.DataFrame(rows, columns=schema.names), schema=schema, preserve_index=False)

@@ -115,11 +115,10 @@ def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataF
     return settle(screen.met(blocks, shared, found, "doc long, place long, start long, end long, id long, unit binary, sig binary"))
 
 
-def components_of(found: DataFrame, kind: Kind, num: int, den: int, least: int, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
-    """id, component of the distinct units that verified links join."""
-    distinct = settle(found.dropDuplicates(["id"]).select("id", "sig", "unit"))
-    close = close_units(distinct, kind, least, item_rows, list_rows)
-    return verified(distinct, close, kind, num, den)
+def distinct_units(found: DataFrame, *carried: str) -> DataFrame:
+    """id, n (occurrences), first (doc, place, start, end of the first one) and the carried columns; written once."""
+    own = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "start", "end")).alias("first"), *[F.first(c).alias(c) for c in carried])
+    return settle(own)
 
 
 def close_units(distinct: DataFrame, kind: Kind, least: int, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
@@ -144,11 +143,15 @@ def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int)
     return near.components(near.verify(units.select("id", "unit"), close, num, den, of="unit", sets_of=sets_of))
 
 
-def occurrences(found: DataFrame, joined: DataFrame) -> DataFrame:
-    """doc, place, start, end, component, keep_doc, keep_place of the occurrences in components with two or more of them."""
-    grouped = found.select("doc", "place", "start", "end", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
-    first = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("keep")).where("n > 1")
-    return grouped.join(cut(first), "component").select("doc", "place", "start", "end", "component", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place"))
+def occurrences(found: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """doc, place, start, end, component, keep_doc, keep_place of the occurrences in components with two or more of them.
+
+    Components are counted over distinct units, so that the occurrences themselves are shuffled once.
+    """
+    grouped = distinct.select("id", "n", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keep = grouped.groupBy("component").agg(F.sum("n").alias("n"), F.min(F.struct("first.doc", "first.place")).alias("keep")).where("n > 1")
+    units = cut(grouped.select("id", "component").join(keep.select("component", "keep"), "component"))
+    return found.join(units, "id").select("doc", "place", "start", "end", "component", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place"))
 
 
 def per_document(docs: DataFrame, found: DataFrame, unit: str) -> DataFrame:
