@@ -40,6 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed_others(docs: DataFrame, *plain: str) -> DataFrame:
+    """The plain columns and, as one struct, all others, so that no name of theirs meets one that an operator adds."""
+    others = [c for c in docs.columns if c not in plain]
+    return docs.select(*plain, F.struct(*[docs[c] for c in others], F.lit(0).alias("_")).alias("_others"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``packed_others`` was given, in their order."""
+    return df.select(*[F.col(c) if c in df.columns and c != "_others" and c not in df.schema["_others"].dataType.names else F.col("_others")[c].alias(c) for c in columns])
+
+
 def n_words() -> "F.Column":
     return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_SPACES)).cast("long")
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES, settle
+from factloom.llm.common import SPACES, packed_others, settle, unpacked
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -66,6 +66,11 @@ def content_sort(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id, with all columns of ``docs``, whatever their names."""
+    return unpacked(content_sort(packed_others(docs, "doc_id", "text")).where("kept"), docs.columns)
+
+
 def op9_exact_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return content_sort(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

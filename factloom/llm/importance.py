@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, run_hashes, runs, settle, slices
+from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, packed_others, run_hashes, runs, settle, slices, unpacked
 
 ADDED = ["log_weight", "key", "kept"]
 BYTES = 3
@@ -174,8 +174,8 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior:
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` in the sample, with the columns of ``docs``."""
-    return resample(docs, labels, **how).where("kept").select(*docs.columns)
+    """The rows of ``docs`` in the sample, with all columns of ``docs``, whatever their names."""
+    return unpacked(resample(packed_others(docs, "doc_id", "text"), labels, **how).where("kept"), docs.columns)
 
 
 def op2_importance_resampling(spark, sf_dir):

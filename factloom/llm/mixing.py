@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, n_words
+from factloom.llm.common import cut, n_words, packed_others, unpacked
 
 WEIGHTS = (5, 2, 1)
 
@@ -147,11 +147,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     A row is known by doc_id and source; rows that share both are told apart by their order of size.
     """
     taken = cube_mix(docs, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_source").orderBy("size")))
-    rows = docs.select("*", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(n_words())).alias("_n0"))
-    same = rows["doc_id"].eqNullSafe(taken["_doc"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_n0"] == taken["_n"])
-    own = rows.join(taken.where("copies > 0"), same)
-    return own.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[rows[c] for c in docs.columns])
+    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_source").orderBy("size"))).where("copies > 0")
+    rows = packed_others(docs, "doc_id", "source", "text").withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(n_words())))
+    own = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_n")))
+    return unpacked(own.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 RESULT = ["doc_id", "source", "size", "source_size", "target", "_whole", "_p"]

@@ -207,3 +207,30 @@ def test_pipeline_stages(spark):
         assert rows and {r["doc_id"] for r in rows} <= ids
         docs = out if k < 4 else docs
     assert all(r["round_trip"] for r in rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls anywhere, empty and long texts, repeated rows, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, key string, size string, copies string, _others string, id string"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "some text here", "en", "a"), (1, "some text here", "en", "a"), (2, "", None, "a"), (None, None, None, None), (3, long, "en", None), (4, long + " x", "en", "b"), (5, "some  text here", None, "b")]
+    docs = spark.createDataFrame([(*r, 1, "k", "y", "s", "c", "o", "i") for r in rows], schema)
+    for some in (docs, docs.where("false")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, some, str(tmp_path))
+            found = out.collect()
+            if k < 4:
+                assert out.columns == docs.columns
+                assert all(r["kept"] == "k" and r["_others"] == "o" and r["copies"] == "c" for r in found)
+                want = {0: 7, 1: 4, 2: None, 3: None}[k] if some is docs else 0
+                assert want is None or len(found) == want
+            if some is not docs:
+                assert not found
+    assert near_kept(corpus_pipeline, spark, docs) == {1, 2, 3, None}  # 5 has the words of 1
+
+
+def near_kept(corpus_pipeline, spark, docs):
+    return {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
