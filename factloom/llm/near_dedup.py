@@ -102,7 +102,8 @@ def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: i
     found = near.components(near.verify(sets, candidates, num, den))
 
     grouped = rows.drop("sig").join(found, "id", "left").withColumn("_group", F.coalesce("component", "id"))
-    least_doc = grouped.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"))
+    # cut, so that the join below reads two exchanges and Spark can split a large group
+    least_doc = cut(grouped.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least")))
     out = grouped.join(least_doc, "_group", "left")
     component = F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
