@@ -256,7 +256,7 @@ def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int =
 # ---- union-find on Spark -------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_000) -> DataFrame:
     """id, component (the smallest id it is linked with, over any number of links) of every id in the links (a, b).
 
     Each task first joins what it has itself into stars; then large-star and small-star rounds alternate on Spark until a
@@ -273,21 +273,26 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
             out = np.flatnonzero(label != np.arange(len(uniq)))
             yield pa.RecordBatch.from_arrays([pa.array(uniq[out]), pa.array(uniq[label[out]])], schema=LINKS)
 
+    def few(df: DataFrame, rows: int) -> DataFrame:
+        """So many tasks as the edges need: a round on few edges is not hundreds of tasks for each of its stages."""
+        return df.coalesce(max(8, -(-rows // edges_a_task)))
+
     # from here each edge is (a, b) with b < a
-    edges = cut(links.where("a is not null and b is not null and a <> b").mapInArrow(local, "a long, b long").distinct())
+    edges = cut(links.where("a is not null and b is not null and a <> b").mapInArrow(local, "a long, b long"))
+    n = edges.count()
+    edges = cut(few(edges, n).mapInArrow(local, "a long, b long"))
     before = None
     for _ in range(most_rounds):
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             break
-        before = seen
+        before, n = seen, seen[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = cut(few(small.where("a <> b").distinct(), n))
     else:
         raise RuntimeError("union-find has not converged")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
