@@ -334,6 +334,22 @@ def _link_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: i
     return a, b
 
 
+def _link_pairs(ids: np.ndarray, first: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of clusters of two, which stand at ``first`` and behind it, all of them at once."""
+    first = first[(side[first] == 0) | (side[first] != side[first + 1])]
+    if not len(first):
+        return ids[:0], ids[:0]
+    x, y = [sets[i] for i in first], [sets[i + 1] for i in first]
+    nx, ny = (np.array([len(v) for v in z]) for z in (x, y))
+    h = np.concatenate([*x, *y])
+    pair = np.r_[np.repeat(np.arange(len(first)), nx), np.repeat(np.arange(len(first)), ny)]
+    order = np.lexsort((h, pair))
+    h, pair = h[order], pair[order]
+    common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=len(first))
+    good = den * common >= num * (nx + ny - common)
+    return ids[first[good]], ids[first[good] + 1]
+
+
 def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
@@ -361,9 +377,10 @@ def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, clu
         table = table.sort_by([("component", "ascending"), ("id", "ascending")])
         ids, side, sets = table.column("id").to_numpy(), table.column("side").to_numpy(), sets_of(table.column(of))
         _, start, end = groups_of(table.column("component").to_numpy())
-        a, b = [], []
+        two = np.flatnonzero(end - start == 2)
+        a, b = (x.tolist() for x in _link_pairs(ids, start[two], sets, side, num, den))
         for s, e in zip(start, end, strict=True):
-            if e - s > 1:
+            if e - s > 2:
                 x, y = _link_sets(ids[s:e], side[s:e], sets[s:e], num, den)
                 a += x
                 b += y
