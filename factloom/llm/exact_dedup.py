@@ -45,7 +45,7 @@ def content_sort(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 (of the normalised text)."""
     # written once: sampling splitters, counting and sorting then read digests and beginnings instead of making them again
     norm = docs.drop(*ADDED, "_salt", "_head", "_norm").withColumn("_norm", normal(F.col("text")))
-    rows = settle(norm.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_head", F.substring("_norm", 1, 32)).drop("_norm"))
+    rows = settle(norm.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_head", F.substring("_norm", 1, 32)).drop("_norm"), codec="snappy")
     least = max(2.0, hot_share * rows.count())
     hot = rows.groupBy("text_sha256").count().where(F.col("count") > F.lit(least)).select("text_sha256", F.ceil(F.col("count") / F.lit(least)).alias("_parts"))
     hot = F.broadcast(hot)
