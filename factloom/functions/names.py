@@ -63,6 +63,11 @@ def silenced(demangled: Column, std: bool = True, llvm: bool = True, runtime: bo
     return out
 
 
+def spawns(name: Column) -> Column:
+    """Whether a function starts another thread of work, by its name (fixed values)."""
+    return (name == "pthread_create") | name.contains("spawn") | name.contains("thread")
+
+
 def intrinsic(name: Column) -> Column:
     return name.startswith("llvm.")
 

@@ -34,6 +34,20 @@ def key_values(one_row: DataFrame) -> DataFrame:
     return one_row.select(F.explode(pairs).alias("x")).select("x.ord", "x.line")
 
 
+def dot(edges: DataFrame, of: str, source: str, target: str) -> DataFrame:
+    """The column ``of`` and value: one graph text for each of its values, of its edges from ``source`` to ``target``.
+
+    A null target is left out. Written with ``partitionBy(of)``, each is a file of its own.
+    """
+    line = F.concat(F.lit('  "'), F.col(source).cast("string"), F.lit('" -> "'), F.col(target).cast("string"), F.lit('";'))
+    return edges.groupBy(of).agg(F.concat_ws("\n", F.concat(F.lit('digraph "'), F.col(of).cast("string"), F.lit('" {')), F.array_sort(F.collect_set(line)), F.lit("}")).alias("value"))
+
+
+def framed(answers: DataFrame) -> DataFrame:
+    """qid, value: the lines (qid, line) of each query's answer between the marks that readers of a stream look for."""
+    return answers.groupBy("qid").agg(F.concat_ws("\n", F.lit("<queryresult>"), F.array_sort(F.collect_list("line")), F.lit("</queryresult>")).alias("value"))
+
+
 def tree_lines(edges: DataFrame, root: int) -> list[str]:
     """A bounded call tree (caller, callee; null callee: unknown) of one root as indented lines.
 

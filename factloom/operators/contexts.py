@@ -12,9 +12,10 @@ from factloom.operators.lineage import cut
 def contexts(calls: DataFrame, roots: DataFrame, k: int, most_rounds: int = 1000) -> DataFrame:
     """func, ctx: the call strings (the last ``k`` call sites, newest first) in which functions run, from the roots (func).
 
-    ``calls``: callsite, caller, callee. With k = 0 every function has the empty one. Rounds join the new ones with calls.
+    ``calls``: callsite, caller, callee and, if only some calls make a context (those that spawn: origins), push. With k = 0
+    every function has the empty one. Rounds join the new ones with calls.
     """
-    step = cut(calls.select("callsite", "caller", "callee").distinct())
+    step = cut(_pushing(calls).select("callsite", "caller", "callee", "push").distinct())
     frontier = cut(roots.select("func", F.array().cast("array<int>").alias("ctx")).distinct())
     seen = frontier
     for _ in range(most_rounds):
@@ -26,8 +27,12 @@ def contexts(calls: DataFrame, roots: DataFrame, k: int, most_rounds: int = 1000
     raise RuntimeError("contexts have not converged")
 
 
+def _pushing(calls: DataFrame) -> DataFrame:
+    return calls if "push" in calls.columns else calls.withColumn("push", F.lit(True))
+
+
 def _pushed(k: int) -> Column:
-    return F.slice(F.concat(F.array("callsite"), "ctx"), 1, k) if k else F.array().cast("array<int>")
+    return F.when(F.col("push"), F.slice(F.concat(F.array("callsite"), "ctx"), 1, k)).otherwise(F.col("ctx")) if k else F.array().cast("array<int>")
 
 
 def _at(var: Column, owned: Column, ctx: Column) -> Column:
@@ -38,13 +43,13 @@ def _at(var: Column, owned: Column, ctx: Column) -> Column:
 def clone(constraints: DataFrame, owners: DataFrame, passed: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """op, dst, src (names) with a copy of a function's constraints for each of its contexts.
 
-    ``constraints``: op, dst, src, func; ``owners``: var, func; ``passed``: callsite, caller, callee, dst, src, back, the copies
-    that a call makes, into its callee (back false) or out of it; ``found``: func, ctx.
+    ``constraints``: op, dst, src, func; ``owners``: var, func; ``passed``: callsite, caller, callee, dst, src, back (and push, as
+    in ``contexts``), the copies that a call makes, into its callee (back false) or out of it; ``found``: func, ctx.
     """
     owned = owners.select("var", F.lit(True).alias("own"))
     of = lambda df, c: df.join(owned.select(F.col("var").alias(c), F.col("own").alias(f"own_{c}")), c, "left").withColumn(f"own_{c}", F.coalesce(f"own_{c}", F.lit(False)))
     inside = of(of(constraints, "dst"), "src").join(found, "func").select("op", _at(F.col("dst"), F.col("own_dst"), F.col("ctx")).alias("dst"), _at(F.col("src"), F.col("own_src"), F.col("ctx")).alias("src"))
-    over = of(of(passed, "dst"), "src").join(found, F.col("caller") == F.col("func")).withColumn("in", _pushed(k))
+    over = of(of(_pushing(passed), "dst"), "src").join(found, F.col("caller") == F.col("func")).withColumn("in", _pushed(k))
     there, here = F.when(F.col("back"), F.col("ctx")).otherwise(F.col("in")), F.when(F.col("back"), F.col("in")).otherwise(F.col("ctx"))
     calls = over.select(F.lit("COPY").alias("op"), _at(F.col("dst"), F.col("own_dst"), there).alias("dst"), _at(F.col("src"), F.col("own_src"), here).alias("src"))
     return inside.unionByName(calls).distinct()

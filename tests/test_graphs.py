@@ -165,6 +165,19 @@ def test_contexts_tell_calls_apart(spark):
         assert {tuple(r) for r in pts.where("ptr in ('12', '13')").collect()} == want[k]
 
 
+def test_origins_are_the_calls_that_spawn(spark):
+    calls = spark.createDataFrame([(100, 1, 2, False), (200, 1, 2, True), (300, 2, 3, False)], "callsite int, caller int, callee int, push boolean")
+    found = contexts.contexts(calls, spark.createDataFrame([(1,)], "func int"), 2)
+    assert rows_of(found) == sorted([(1, []), (2, []), (2, [200]), (3, []), (3, [200])], key=repr)
+
+
+def test_graph_texts(spark, edges):
+    got = {r["caller"]: r["value"] for r in render.dot(edges.withColumn("from", F.col("caller")), "caller", "from", "callee").collect()}
+    assert got[1] == 'digraph "1" {\n  "1" -> "2";\n  "1" -> "3";\n  "1" -> "6";\n}' and got[3] == 'digraph "3" {\n}'
+    lines = spark.createDataFrame([(1, "b"), (1, "a")], "qid int, line string")
+    assert render.framed(lines).first()["value"] == "<queryresult>\na\nb\n</queryresult>"
+
+
 def test_calls_found_while_solving(spark):
     """p = &f; q = p(x) where f returns its parameter, which is &g; q() then calls g."""
     cons = spark.createDataFrame([("ADDR", 1, -100), ("ADDR", 2, -200), ("COPY", 11, 10)], schemas.CONSTRAINT)

@@ -49,6 +49,7 @@ def test_silence(spark):
 
 def test_small_functions(spark):
     assert one(spark, names.struct_stripped(F.col("n")), n="class.A::B.12") == "A::B"
+    assert [one(spark, names.spawns(F.col("n")), n=x) for x in ("pthread_create", "std_thread_start", "f")] == [True, True, False]
     assert one(spark, names.bare(F.col("n")), n="@@x") == "@x"
     assert one(spark, names.file_name(F.col("n")), n="a/b/c.cc") == "c.cc"
     assert [one(spark, names.strict_int(F.col("n")), n=x) for x in ("12", "-3", "1x", " 1", "", "99999999999")] == [12, -3, None, None, None, None]
