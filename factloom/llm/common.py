@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: it outlives any executor."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
