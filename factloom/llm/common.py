@@ -34,6 +34,15 @@ def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on Spark hands its texts to Python in batches of at most 1,000 rows and about 4 MB, so that buffers on
+    either side of the pipe stay small whatever the number of rows of a partition."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()``: lineage ends in the shared folder, and Spark removes the files with the frame."""
     shared_dir(df.sparkSession)

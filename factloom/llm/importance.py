@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, packed_others, run_hashes, runs, settle, slices, unpacked
+from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, packed_others, run_hashes, runs, settle, slices, small_batches, unpacked
 
 ADDED = ["log_weight", "key", "kept"]
 BYTES = 3
@@ -155,6 +155,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior: float = 5.0, span: int = 64, max_labelled: int = 20_000, seed: int = 11) -> DataFrame:
     """``docs`` with log_weight, key and kept (whether the row is among the k of the sample)."""
+    docs = small_batches(docs)
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality") == 0, -1)
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("y")).where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     ids = np.array([r["doc_id"] for r in chosen], np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near
-from factloom.llm.common import LOWER, SPACE, binaries, cut, distinct_in_rows, mix, packed, run_hashes, runs, settle, shingle_hashes, slices
+from factloom.llm.common import LOWER, SPACE, binaries, cut, distinct_in_rows, mix, packed, run_hashes, runs, settle, shingle_hashes, slices, small_batches
 
 ADDED = ["n_shingles", "component_id", "kept"]
 
@@ -86,7 +86,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: int = 64, least: int = 32, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of ``docs``: similarity num / den or more links."""
-    rows = settle(describe(docs, size, k))
+    rows = settle(describe(small_batches(docs), size, k))
     items = settle(rows.where("id is not null").dropDuplicates(["id"]).select("id", "sig"))
     parts = max(8, -(-items.count() // item_rows))
     items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))

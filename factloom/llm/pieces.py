@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from factloom.llm.common import binaries, packed, run_hashes, slices
+from factloom.llm.common import binaries, packed, run_hashes, slices, small_batches
 
 #: Fixed by the public format: the sign for a space, the penalty of an unknown character, and the kinds of pieces.
 SPACE_SIGN, UNKNOWN_PENALTY, NORMAL, USER, BYTE = "▁", 10.0, 1, 4, 6
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
                 names = [n for n in part.schema.names if n != into]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], values], [*names, into])
 
-    return docs.mapInArrow(each, schema)
+    return small_batches(docs).mapInArrow(each, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -314,7 +314,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: s
 
     import pyarrow.compute  # noqa: F401
 
-    return encoded.mapInArrow(each, schema)
+    return small_batches(encoded).mapInArrow(each, schema)
 
 
 def op4_sentencepiece(spark, sf_dir):
