@@ -203,8 +203,14 @@ def post(items: DataFrame, shared: DataFrame, tokens_of, choose, k: int, buckets
     return left.cogroup(right).applyInArrow(each, "bucket long, keys binary, sides binary, ids binary, sigs binary")
 
 
-def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int = 1 << 19) -> DataFrame:
-    """a, b: within each posting list a spanning forest of the pairs with at least ``least`` equal coordinates."""
+def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int = 1 << 19, flagged: bool = False) -> DataFrame:
+    """a, b: within each posting list a spanning forest of the pairs with at least ``least`` equal coordinates; if ``flagged``,
+    the last of the k is none but says, where it isn't 0, that all pairs of this item count."""
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if flagged:
+            return ((x[..., :-1] == y[..., :-1]).sum(axis=1) >= least) | ((x[..., -1] | y[..., -1]) > 0)
+        return (x == y).sum(axis=1) >= least
 
     def each(table: pa.Table) -> pa.Table:
         key, side = _joined(table, "keys", np.uint64), _joined(table, "sides", np.uint8)
@@ -229,7 +235,7 @@ def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int =
             open_ = label[x] != label[y]
             pairs = np.unique(np.minimum(x, y)[open_] * np.int64(len(uniq)) + np.maximum(x, y)[open_])
             x, y = pairs // len(uniq), pairs % len(uniq)
-            good = np.concatenate([(sig[x[c : c + chunk]] == sig[y[c : c + chunk]]).sum(axis=1) >= least for c in range(0, len(x), chunk)] or [np.zeros(0, bool)])
+            good = np.concatenate([close(sig[x[c : c + chunk]], sig[y[c : c + chunk]]) for c in range(0, len(x), chunk)] or [np.zeros(0, bool)])
             links.append((x[good], y[good]))
             label = roots(len(uniq), np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]))
             lo = hi
@@ -243,7 +249,7 @@ def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int =
                     pick &= sides[i + 1 :] != sides[i]
                 rest = rest[pick]
                 if len(rest):
-                    rest = rest[(sig[rest] == sig[m]).sum(axis=1) >= least]
+                    rest = rest[close(sig[rest], sig[m])]
                     if len(rest):
                         touched = np.unique(np.r_[label[rest], label[m]])
                         label[np.isin(label, touched)] = touched[0]

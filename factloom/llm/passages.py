@@ -54,13 +54,14 @@ class Units:
 @dataclass(frozen=True)
 class Kind:
     """How units are cut and compared. ``cut``: UTF-8 bytes of texts and where each begins -> Units; ``alone``: the same for
-    texts that are one unit each; ``sign``: hashes and bounds -> k coordinates as uint32; bands have ``rows`` coordinates."""
+    texts that are one unit each; ``sign``: hashes and bounds -> k coordinates as uint32; bands have ``rows`` coordinates. ``flagged``: see ``near.collide``."""
 
     cut: Callable
     alone: Callable
     sign: Callable
     k: int
     rows: int
+    flagged: bool = False
 
     def tokens(self, sig: np.ndarray) -> np.ndarray:
         return near.band_tokens(sig, self.rows)
@@ -127,7 +128,7 @@ def close_units(distinct: DataFrame, kind: Kind, least: int, item_rows: int = 81
     items = distinct.select("id", "sig", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))
     shared = near.shared_tokens(items, kind.tokens, kind.k, parts)
     lists = near.post(items, shared, kind.tokens, near.every_shared, kind.k, parts, list_rows)
-    return cut(near.with_members(near.components(near.collide(lists, kind.k, least))))
+    return cut(near.with_members(near.components(near.collide(lists, kind.k, least, flagged=kind.flagged))))
 
 
 def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
