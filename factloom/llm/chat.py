@@ -7,8 +7,8 @@ only). An output that does not begin with the one before means that the template
 then marked and has no spans.
 
 A conversation of more than ``window`` turns is rendered in prefixes of its last ``window`` turns, so that the work
-stays linear, and the sum of the parts is compared with one rendering of the whole; where they differ, whole prefixes
-are rendered. A conversation is one row of the result, so its turns meet in one task.
+stays linear, and the parts' texts, one after the other, are compared with one rendering of the whole; where they differ, whole
+prefixes are rendered. A conversation is one row of the result, so its turns meet in one task.
 
 Defined cases: turns go by turn, then role, then text, nulls first; a null role or text is empty; a null conv_id is one
 conversation of its own; repeated rows are repeated turns; an empty table gives an empty result.
@@ -80,6 +80,7 @@ def locate(render: Callable[[Messages], str], messages: Messages, window: int =
     for span in (window, len(messages)) if len(messages) > window else (len(messages),):
         turns, texts, at, good = [], [], len(render([])), True
         before = render([])
+        parts = [before]
         for k, (role, _) in enumerate(messages):
             past = messages[max(0, k + 1 - span) : k]
             before = render(past) if k >= span else before
@@ -92,8 +93,9 @@ def locate(render: Callable[[Messages], str], messages: Messages, window: int =
             tail = len(one) - head - 1
             turns.append((at, at + len(now) - len(before)))
             texts.append((at + head - len(before), at + len(now) - tail - len(before)))
+            parts.append(now[len(before) :])
             at, before = turns[-1][1], now
-        if good and at == len(whole) and all(whole[s:e] for s, e in turns):
+        if good and "".join(parts) == whole and all(whole[s:e] for s, e in turns):
             return Located(whole, turns, texts)
     return Located(whole, [], [], True)
 
