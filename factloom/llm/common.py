@@ -27,13 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that ``settle`` wrote and nobody has removed yet.
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: it outlives any executor."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_settled(spark: SparkSession, kept: DataFrame | None = None) -> None:
+    """Removes the folders settled so far, but for the one that ``kept`` reads: for callers whose earlier frames are used up."""
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in kept.inputFiles()} if kept is not None else set()
+    for path in list(_settled):
+        if path.rsplit("/", 1)[-1] not in own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _settled.remove(path)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on Spark hands its texts to Python in batches of at most 1,000 rows and about 4 MB, so that buffers on
     either side of the pipe stay small whatever the number of rows of a partition."""
@@ -95,15 +110,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """1, P, P^2, ... modulo 2^64, n at least."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 12) - 1, PRIME, np.uint64)])
-    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,13 +135,26 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return s, e, np.searchsorted(offs, s, "right") - 1
 
 
+#: A pseudo-random number for each of 64 places in a string and each byte that may stand there, made by rule.
+_PLACES = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * PRIME)
+
+
 def run_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run's bytes; runs are disjoint and in order."""
+    """A 64-bit hash of each run's bytes (or code points); runs are disjoint and in order.
+
+    Every place has unrelated numbers for its bytes, so that strings made by exchanging or doubling parts don't collide.
+    """
     if not len(s):
         return np.zeros(0, np.uint64)
     lengths = e - s
     where = np.arange(lengths.sum()) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
-    values = (data[np.repeat(s, lengths) + where].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[where]
+    own = data[np.repeat(s, lengths) + where]
+    if own.dtype == np.uint8:
+        values = _PLACES[((where & 63) << 8) | own]
+        far = np.flatnonzero(where > 63)
+        values[far] = mix(values[far] + (where[far] >> 6).astype(np.uint64) * PRIME)
+    else:
+        values = mix((where.astype(np.uint64) << np.uint64(32)) + own.astype(np.uint64) + np.uint64(1))
     return mix(np.add.reduceat(values, np.r_[0, np.cumsum(lengths)[:-1]]) + lengths.astype(np.uint64))
 
 
@@ -167,12 +186,14 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, size: int, n_rows: int) -
         same = row[: len(h)] == row[size - 1 :]
         out.append(h[same])
         rows.append(row[: len(h)][same])
-    for r in np.flatnonzero((count > 0) & (count < size)):
-        h = np.zeros(1, np.uint64)
-        for k, w in enumerate(words[first[r] : first[r] + count[r]]):
-            h = mix(h * PRIME + w + np.uint64(k))
-        out.append(mix(h + np.uint64(count[r])))
-        rows.append(np.array([r]))
+    few = np.flatnonzero((count > 0) & (count < size))
+    if len(few):
+        h = np.zeros(len(few), np.uint64)
+        for k in range(size - 1):
+            more = np.flatnonzero(count[few] > k)
+            h[more] = mix(h[more] * PRIME + words[first[few[more]] + k] + np.uint64(k))
+        out.append(mix(h + count[few].astype(np.uint64)))
+        rows.append(few)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, rows = np.concatenate(out), np.concatenate(rows)
@@ -180,6 +201,34 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, size: int, n_rows: int) -
     return h[order], rows[order]
 
 
+def exact_shingles(column: pa.Array, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers of each text's shingles of ``size`` words, and where each text's begin: within one call equal
+    numbers are equal words. Words are numbered by comparing their bytes, shingles by numbering the words so far and the next."""
+    data, offs = packed(column)
+    data = LOWER[data] if lower else data
+    s, e, row = runs(~SPACE[data], offs)
+    n = len(offs) - 1
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    length = e - s
+    own = data[np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(s, length)]
+    words = binaries(own, np.r_[0, np.cumsum(length)]).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    base = int(words.max()) + 1
+    count = np.bincount(row, minlength=n)
+    code = words
+    for k in range(1, size):
+        # where a text has no k-th word behind, 0 stands for it
+        after = np.zeros(len(words), np.int64)
+        after[: len(words) - k] = np.where(row[k:] == row[: len(words) - k], words[k:], 0)
+        code = code * base + after
+        if k + 1 < size:
+            code = np.unique(code, return_inverse=True)[1]
+    first = (np.cumsum(count) - count)[row]
+    full = (np.arange(len(words)) - first <= count[row] - size) | ((count[row] < size) & (np.arange(len(words)) == first))
+    h, rows = distinct_in_rows(code[full].astype(np.uint64), row[full])
+    return h, np.searchsorted(rows, np.arange(n + 1))
+
+
 def distinct_in_rows(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash), sorted by both."""
     order = np.lexsort((h, rows))

@@ -6,29 +6,47 @@ are packed arrays, so that numpy works inside tasks and Spark deals out the work
 1. ``shared_tokens``: every block of items posts its distinct tokens (coordinate-value pairs, or bands of them) once,
    with how many of its items have them; a bucket adds up what the blocks say and answers with the tokens that two items
    or more have, and their frequencies. A token of a third of all items is one entry for each block.
-2. ``post``: with these answers a block posts its items under the tokens that it selects, with a one-byte form of the
-   signature. A list of more than ``list_rows`` items is dealt out to pairs of blocks of it.
-3. ``collide``: within a list, pairs with at least ``least`` equal coordinates are candidate links. Pairs inside one
-   group say nothing new, so a list returns a spanning forest of stars, never its pairs.
+2. ``post``: with these answers a block posts its items under the tokens that it selects, with a short form of the
+   signature. A list of more than ``list_rows`` items is dealt out to parts, in another way for each token.
+3. ``candidates``: within a list or a part, pairs that are close are candidate links. Pairs inside one group say nothing
+   new, so a list returns a spanning forest of stars, never its pairs. Then the parts of a large list meet (see 6).
 4. ``components``: distributed union-find (large star, small star) over these.
 5. ``verify``: a candidate cluster's full sets meet; pairs are compared exactly, but for those that verified links
    already join, and a spanning forest of exact links is returned. A cluster of more than ``cluster_rows`` items is dealt
-   out to pairs of blocks of it; smaller ones share packs.
+   out to parts, each of which also has the cluster's first item; smaller ones share packs.
+6. ``across``: what is compared between the parts of a large group. Of the components that the parts' links give, the
+   largest needs no comparison inside itself: only the items left over meet all others, in pairs of parts. A group of n
+   near copies is n comparisons, not their square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, mix
+from factloom.llm.common import binaries, cut, mix
 
 #: Odd multipliers of the signature's coordinates, made by rule.
 _MULTIPLIERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Form:
+    """How signatures are kept and compared: the bytes of one (``width``), the 64-bit tokens of a matrix of them, the part of
+    one that posting lists carry (``posted`` bytes of it), and whether rows of two such matrices are candidates."""
+
+    width: int
+    tokens: Callable[[np.ndarray], np.ndarray]
+    posted: int
+    shorten: Callable[[np.ndarray], np.ndarray]
+    close: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def signatures(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """MinHash of k coordinates, as uint32, of the sets ``h[starts[i]:starts[i + 1]]`` (64-bit hashes, none empty)."""
     out = np.empty((len(starts) - 1, k), np.uint32)
@@ -52,6 +70,11 @@ def band_tokens(sig: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def coordinates(k: int, least: int, tokens: Callable[[np.ndarray], np.ndarray]) -> Form:
+    """Signatures of k coordinates of 32 bits; lists carry a byte of each, and ``least`` equal ones make a candidate."""
+    return Form(4 * k, lambda m: tokens(m.view(np.uint32)), k, lambda m: np.ascontiguousarray(m[:, ::4]), lambda x, y: (x == y).sum(axis=-1) >= least)
+
+
 # ---- union-find on arrays ------------------------------------------------------------------------------------------
 
 
@@ -81,6 +104,78 @@ def groups_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, start, np.r_[start[1:], len(k)] if len(k) else start
 
 
+# ---- links inside groups, in a task --------------------------------------------------------------------------------
+
+
+def forest(start: np.ndarray, end: np.ndarray, ids: np.ndarray, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], side: np.ndarray | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b), as spanning forests, of all pairs inside the groups [start, end) of rows that ``compare`` accepts.
+
+    The groups go in step: in step k the k-th row of each meets the rows behind it that nothing joins it with yet
+    (``label``: what is joined from the start). Rows on one side (1 or 2; 0 is both) don't meet.
+    """
+    n = len(ids)
+    group = np.repeat(np.arange(len(start)), end - start)
+    rank = np.arange(n) - start[group]
+    label = np.arange(n) if label is None else label
+    a, b = [ids[:0]], [ids[:0]]
+    rows = np.flatnonzero(rank > 0)
+    for k in range(int((end - start).max(initial=0)) - 1):
+        rows = rows[rank[rows] > k]
+        p = start[group[rows]] + k
+        pick = label[rows] != label[p]
+        if side is not None:
+            pick &= (side[p] == 0) | (side[p] != side[rows])
+        p, rest = p[pick], rows[pick]
+        if len(rest):
+            good = compare(p, rest)
+            p, rest = p[good], rest[good]
+        if len(rest):
+            old, first = np.unique(label[rest], return_index=True)
+            a.append(ids[p[first]])
+            b.append(ids[rest[first]])
+            to = np.arange(n)
+            to[old] = label[p[first]]
+            label = to[label]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def set_comparer(h: np.ndarray, bounds: np.ndarray, group: np.ndarray, num: int, den: int, chunk: int = 1 << 22) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For ``forest``: whether the sets ``h[bounds[i]:bounds[i + 1]]`` of two rows have den * |x & y| >= num * |x | y|."""
+    size = np.diff(bounds)
+    owner = np.repeat(group, size)
+    order = np.lexsort((h, owner))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    element = np.empty(len(h), np.int64)
+    element[order] = np.cumsum(new) - 1
+    marked = np.zeros(len(h) + 1, bool)
+
+    def elements(rows: np.ndarray) -> np.ndarray:
+        n = size[rows]
+        return element[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][rows], n)]
+
+    def compare(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        x, y = size[p], size[rows]
+        out = (den * np.minimum(x, y) >= num * np.maximum(x, y)) & (x > 0) & (y > 0)
+        some = np.flatnonzero(out)
+        if not len(some):
+            return out
+        own = elements(np.unique(p[some]))
+        marked[own] = True
+        total = np.cumsum(y[some])
+        lo = 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + chunk)))
+            part = some[lo:hi]
+            common = np.add.reduceat(marked[elements(rows[part])].astype(np.int64), np.cumsum(y[part]) - y[part])
+            out[part] = den * common >= num * (x[part] + y[part] - common)
+            lo = hi
+        marked[own] = False
+        return out
+
+    return compare
+
+
 # ---- posting lists -------------------------------------------------------------------------------------------------
 
 
@@ -100,14 +195,13 @@ def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 
 SHARED = pa.schema([("block", pa.int64()), ("tokens", pa.binary()), ("freqs", pa.binary())])
 _POSTED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
-_LISTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("sides", pa.binary()), ("ids", pa.binary()), ("sigs", pa.binary())])
+_LISTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("parts", pa.binary()), ("ids", pa.binary()), ("sigs", pa.binary())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _matrix(table: pa.Table, k: int) -> np.ndarray:
-    """Signatures of k coordinates, of one byte or of four."""
-    data = b"".join(x.as_py() for x in table.column("sig"))
-    return np.frombuffer(data, np.uint8 if len(data) == k * table.num_rows else np.uint32).reshape(-1, k)
+def _matrix(table: pa.Table, width: int) -> np.ndarray:
+    return _joined(table, "sig", np.uint8).reshape(-1, width)
 
 
 def _short(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,12 +209,12 @@ def _short(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens % np.uint64(buckets)) << np.uint64(32)) | (tokens >> np.uint64(32))
 
 
-def shared_tokens(items: DataFrame, tokens_of, k: int, buckets: int) -> DataFrame:
+def shared_tokens(items: DataFrame, form: Form, buckets: int) -> DataFrame:
     """block, tokens, freqs: for each block of items (block, id, sig), its tokens that two items or more have anywhere."""
 
     def post(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        key, n = np.unique(_short(tokens_of(_matrix(table, k)), buckets).ravel(), return_counts=True)
+        key, n = np.unique(_short(form.tokens(_matrix(table, form.width)), buckets).ravel(), return_counts=True)
         value, n = key.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
         _, parts = _dealt((key >> np.uint64(32)).astype(np.int64))
         return pa.table([[b for b, _, _ in parts], [block] * len(parts), [value[s:e].tobytes() for _, s, e in parts], [n[s:e].tobytes() for _, s, e in parts]], schema=_POSTED)
@@ -141,7 +235,7 @@ def shared_tokens(items: DataFrame, tokens_of, k: int, buckets: int) -> DataFram
                 out.append((block, keys.tobytes(), np.minimum(total[own][keep], 0xFFFFFFFF).astype(np.uint32).tobytes()))
         return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[], [], []], schema=SHARED)
 
-    posted = items.select("block", "sig").groupBy("block").applyInArrow(post, "bucket long, block long, tokens binary, counts binary")
+    posted = items.select("block", "id", "sig").groupBy("block").applyInArrow(post, "bucket long, block long, tokens binary, counts binary")
     return posted.groupBy("bucket").applyInArrow(add_up, "block long, tokens binary, freqs binary")
 
 
@@ -163,62 +257,58 @@ def every_shared(tokens: np.ndarray, freq: np.ndarray) -> np.ndarray:
     return freq > 1
 
 
-def post(items: DataFrame, shared: DataFrame, tokens_of, choose, k: int, buckets: int, list_rows: int) -> DataFrame:
-    """Posting lists, packed by bucket: keys, sides (0 both, 1 and 2 for the sides of a pair of blocks), ids, sigs."""
+def _part(ids: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The list that an item of a large one goes to: near copies then share parts of some of their many lists."""
+    part = mix(ids.astype(np.uint64) ^ mix(keys)) % parts.astype(np.uint64)
+    return mix(keys ^ mix(part + np.uint64(1)))
+
+
+def post(items: DataFrame, shared: DataFrame, form: Form, choose, buckets: int, list_rows: int) -> DataFrame:
+    """Posting lists, packed by bucket: keys, parts (how many a large list has; empty if all lists are small), ids, sigs."""
 
     def each(_, own: pa.Table, known: pa.Table) -> pa.Table:
         if not own.num_rows or not known.num_rows:
             return _LISTS.empty_table()
-        sig, ids = _matrix(own, k), own.column("id").to_numpy()
+        sig, ids = _matrix(own, form.width), own.column("id").to_numpy()
         t, f = _joined(known, "tokens", np.uint64), _joined(known, "freqs", np.uint32)
         order = np.argsort(t)
         t, f = t[order], f[order]
-        tokens = _short(tokens_of(sig), buckets)
+        tokens = _short(form.tokens(sig), buckets)
         at = np.minimum(np.searchsorted(t, tokens), len(t) - 1)
         freq = np.where(t[at] == tokens, f[at], 1).astype(np.int64)
         row, col = np.nonzero(choose(tokens, freq))
-        key, n = tokens[row, col], freq[row, col]
-        side = np.zeros(len(row), np.uint8)
-        large = np.flatnonzero(n > list_rows)
-        if len(large):
-            keys, rows, sides = [np.delete(key, large)], [np.delete(row, large)], [np.delete(side, large)]
-            parts = -(-n[large] // list_rows)
-            mine = (mix(ids[row[large]].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-            other = np.arange(parts.sum()) - np.repeat(np.r_[0, np.cumsum(parts)[:-1]], parts)
-            mine, base = np.repeat(mine, parts), np.repeat(key[large], parts)
-            lo, hi = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
-            keys.append(mix(base ^ mix(lo * np.uint64(1_000_003) + hi + np.uint64(1))))
-            rows.append(np.repeat(row[large], parts))
-            sides.append(np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8))
-            key, row, side = np.concatenate(keys), np.concatenate(rows), np.concatenate(sides)
-        order, dealt = _dealt((mix(key) % np.uint64(buckets)).astype(np.int64))
-        key, row, side = key[order], row[order], side[order]
-        short = sig.astype(np.uint8)
-        return pa.table(
-            [[b for b, _, _ in dealt], *([x[s:e].tobytes() for _, s, e in dealt] for x in (key, side)), [ids[row[s:e]].tobytes() for _, s, e in dealt], [short[row[s:e]].tobytes() for _, s, e in dealt]],
-            schema=_LISTS,
-        )
+        key, parts = tokens[row, col], -(-freq[row, col] // list_rows)
+        short = form.shorten(sig)
+        out = [[], [], [], [], []]
+        for large in (False, True):
+            some = np.flatnonzero((parts > 1) == large)
+            k, r, p = key[some], row[some], parts[some].astype(np.uint32)
+            order, dealt = _dealt((mix(_part(ids[r], k, p) if large else k) % np.uint64(buckets)).astype(np.int64))
+            k, r, p = k[order], r[order], p[order]
+            for b, s, e in dealt:
+                for column, x in zip(out, (b, k[s:e].tobytes(), p[s:e].tobytes() if large else b"", ids[r[s:e]].tobytes(), short[r[s:e]].tobytes()), strict=True):
+                    column.append(x)
+        return pa.table(out, schema=_LISTS)
 
     left, right = items.select("block", "id", "sig").groupBy("block"), shared.groupBy("block")
-    return left.cogroup(right).applyInArrow(each, "bucket long, keys binary, sides binary, ids binary, sigs binary")
+    return left.cogroup(right).applyInArrow(each, "bucket long, keys binary, parts binary, ids binary, sigs binary")
 
 
-def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int = 1 << 19, flagged: bool = False) -> DataFrame:
-    """a, b: within each posting list a spanning forest of the pairs with at least ``least`` equal coordinates; if ``flagged``,
-    the last of the k is none but says, where it isn't 0, that all pairs of this item count."""
-
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if flagged:
-            return ((x[..., :-1] == y[..., :-1]).sum(axis=1) >= least) | ((x[..., -1] | y[..., -1]) > 0)
-        return (x == y).sum(axis=1) >= least
+def collide(lists: DataFrame, form: Form, small: int = 32, chunk: int = 1 << 19) -> DataFrame:
+    """a, b, sig: where sig is null, a spanning forest of the close pairs within each posting list or part; else an item b of
+    the large list a, with its short signature."""
 
     def each(table: pa.Table) -> pa.Table:
-        key, side = _joined(table, "keys", np.uint64), _joined(table, "sides", np.uint8)
-        uniq, item = np.unique(_joined(table, "ids", np.int64), return_inverse=True)
-        sig = np.empty((len(uniq), k), np.uint8)
-        sig[item] = _joined(table, "sigs", np.uint8).reshape(-1, k)
-        order, start, end = groups_of(key)
-        item, side, size = item[order], side[order], end - start
+        sizes = _counts(table, "keys", 8)
+        key, all_ids, sigs = _joined(table, "keys", np.uint64), _joined(table, "ids", np.int64), _joined(table, "sigs", np.uint8).reshape(-1, form.posted)
+        large = np.repeat([len(x.as_py()) > 0 for x in table.column("parts")], sizes).astype(bool)
+        lists_key = key.copy()
+        lists_key[large] = _part(all_ids[large], key[large], _joined(table, "parts", np.uint32))
+        uniq, item = np.unique(all_ids, return_inverse=True)
+        sig = np.empty((len(uniq), form.posted), np.uint8)
+        sig[item] = sigs
+        order, start, end = groups_of(lists_key)
+        member, size = item[order], end - start
         links: list[tuple[np.ndarray, np.ndarray]] = []
         label = np.arange(len(uniq))
         is_small = (size > 1) & (size <= small)
@@ -230,43 +320,76 @@ def collide(lists: DataFrame, k: int, least: int, small: int = 32, chunk: int =
             i = np.arange((m**2).sum()) - np.repeat(np.cumsum(m**2) - m**2, m**2)
             mm = np.repeat(m, m**2)
             x, y = np.repeat(first, m**2) + i // mm, np.repeat(first, m**2) + i % mm
-            pick = (x < y) & ((side[x] == 0) | (side[x] != side[y]))
-            x, y = item[x[pick]], item[y[pick]]
+            pick = x < y
+            x, y = member[x[pick]], member[y[pick]]
             open_ = label[x] != label[y]
             pairs = np.unique(np.minimum(x, y)[open_] * np.int64(len(uniq)) + np.maximum(x, y)[open_])
             x, y = pairs // len(uniq), pairs % len(uniq)
-            good = np.concatenate([close(sig[x[c : c + chunk]], sig[y[c : c + chunk]]) for c in range(0, len(x), chunk)] or [np.zeros(0, bool)])
+            good = np.concatenate([form.close(sig[x[c : c + chunk]], sig[y[c : c + chunk]]) for c in range(0, len(x), chunk)] or [np.zeros(0, bool)])
             links.append((x[good], y[good]))
             label = roots(len(uniq), np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]))
             lo = hi
         for s0, e0 in zip(start[size > small], end[size > small], strict=True):
-            members, sides = item[s0:e0], side[s0:e0]
+            members = member[s0:e0]
             for i in range(len(members) - 1):
                 m = members[i]
                 rest = members[i + 1 :]
-                pick = label[rest] != label[m]
-                if sides[i]:
-                    pick &= sides[i + 1 :] != sides[i]
-                rest = rest[pick]
+                rest = rest[label[rest] != label[m]]
+                if not len(rest):
+                    continue
+                rest = rest[form.close(sig[rest], sig[m])]
                 if len(rest):
-                    rest = rest[close(sig[rest], sig[m])]
-                    if len(rest):
-                        touched = np.unique(np.r_[label[rest], label[m]])
-                        label[np.isin(label, touched)] = touched[0]
+                    touched = np.unique(np.r_[label[rest], label[m]])
+                    label[np.isin(label, touched)] = touched[0]
         outside = np.flatnonzero(label != np.arange(len(uniq)))
-        return pa.table([uniq[outside], uniq[label[outside]]], schema=LINKS)
+        held = np.flatnonzero(large)
+        data = binaries(sigs[held].ravel(), np.arange(len(held) + 1) * form.posted)
+        return pa.table(
+            [np.r_[uniq[outside], key[held].view(np.int64)], np.r_[uniq[label[outside]], all_ids[held]], pa.concat_arrays([pa.nulls(len(outside), pa.binary()), data])],
+            schema=_FOUND,
+        )
+
+    return lists.groupBy("bucket").applyInArrow(each, "a long, b long, sig binary")
+
+
+def candidates(lists: DataFrame, form: Form, list_rows: int) -> DataFrame:
+    """id, component, members: the clusters that candidate links of all lists make."""
+    found = cut(collide(lists, form))
+    label = components(found.where("sig is null").select("a", "b"))
+    large = found.where("sig is not null").select(F.col("a").alias("group"), F.col("b").alias("id"), "sig")
+    if not large.isEmpty():
 
-    return lists.groupBy("bucket").applyInArrow(each, "a long, b long")
+        def compared(sigs: pa.ChunkedArray, _group: np.ndarray):
+            sig = np.frombuffer(b"".join(x.as_py() for x in sigs), np.uint8).reshape(-1, form.posted)
+            return lambda p, rows: form.close(sig[p], sig[rows])
+
+        rest = across(large.select("id", "sig").dropDuplicates(["id"]), "sig", large.select("group", "id"), label, compared, list_rows)
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    return cut(with_members(label))
 
 
 # ---- union-find on Spark -------------------------------------------------------------------------------------------
 
 
+def beside(rows: DataFrame, totals: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Inner join with ``totals`` (cut; one row a key, ``n``: how many of the ``n_rows`` rows have it).
+
+    Keys with more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast, so that none of them
+    is one task's.
+    """
+    hot = totals.where(F.col("n") > max(1000, n_rows // 1000))
+    if hot.isEmpty():
+        return rows.join(totals, key)
+    own = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(totals.where(F.col("n") <= max(1000, n_rows // 1000)), key)
+    return own.unionByName(others)
+
+
 def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_000) -> DataFrame:
     """id, component (the smallest id it is linked with, over any number of links) of every id in the links (a, b).
 
     Each task first joins what it has itself into stars; then large-star and small-star rounds alternate on Spark until a
-    round changes nothing. A node with a third of all links is only an aggregated minimum and a side of a join.
+    round changes nothing. A node with a third of all links is only an aggregated minimum and a broadcast row.
     """
 
     def local(batches):
@@ -294,8 +417,8 @@ def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_
             break
         before, n = seen, seen[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n))
+        least = cut(few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * n))
+        large = cut(few(beside(both.where("b > a"), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = cut(few(small.where("a <> b").distinct(), n))
@@ -304,97 +427,74 @@ def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-# ---- exact verification --------------------------------------------------------------------------------------------
+def with_members(found: DataFrame) -> DataFrame:
+    """id, component, members (how many ids the component has)."""
+    sizes = cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    return beside(found, sizes, "component", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumnRenamed("n", "members")
 
 
-def _link_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs of sets with den * |x & y| >= num * |x | y|; pairs on one side (1 or 2) are left out.
+# ---- exact verification --------------------------------------------------------------------------------------------
 
-    An inverted index of the group's elements counts a set's intersections with all others at once; a set that verified
-    links already join with all others isn't counted.
-    """
-    n = len(ids)
-    size = np.array([len(x) for x in sets], np.int64)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(element, kind="stable")
-    posted, first = owner[order], np.r_[0, np.cumsum(np.bincount(element))]
-    at = np.r_[0, np.cumsum(size)]
-    label, a, b = np.arange(n), [], []
-    for i in range(n - 1):
-        open_ = label[i + 1 :] != label[i]
-        if side[i]:
-            open_ &= side[i + 1 :] != side[i]
-        if not open_.any():
-            continue
-        e = element[at[i] : at[i + 1]]
-        lengths = first[e + 1] - first[e]
-        where = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[e], lengths)
-        common = np.bincount(posted[where], minlength=n)[i + 1 :]
-        hits = i + 1 + np.flatnonzero(open_ & (den * common >= num * (size[i] + size[i + 1 :] - common)))
-        for j in hits:
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                a.append(int(ids[i]))
-                b.append(int(ids[j]))
-    return a, b
-
-
-def _link_pairs(ids: np.ndarray, first: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of clusters of two, which stand at ``first`` and behind it, all of them at once."""
-    first = first[(side[first] == 0) | (side[first] != side[first + 1])]
-    if not len(first):
-        return ids[:0], ids[:0]
-    x, y = [sets[i] for i in first], [sets[i + 1] for i in first]
-    nx, ny = (np.array([len(v) for v in z]) for z in (x, y))
-    h = np.concatenate([*x, *y])
-    pair = np.r_[np.repeat(np.arange(len(first)), nx), np.repeat(np.arange(len(first)), ny)]
-    order = np.lexsort((h, pair))
-    h, pair = h[order], pair[order]
-    common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=len(first))
-    good = den * common >= num * (nx + ny - common)
-    return ids[first[good]], ids[first[good] + 1]
-
-
-def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
-
-
-def verify(sets: DataFrame, clusters: DataFrame, num: int = 4, den: int = 5, cluster_rows: int = 512, of: str = "hashes", sets_of=_hashes, pack_rows: int = 1024) -> DataFrame:
-    """a, b: exact links (similarity at least num / den) inside candidate clusters, as spanning forests.
 
-    ``sets``: id and the column ``of``, from which ``sets_of`` makes sorted distinct uint64 (by default it holds them as
-    binary; of short texts the text itself travels better); ``clusters``: id, component, members.
-    """
-    packs = max(8, -(-clusters.count() // pack_rows))
-    parts = F.ceil(F.col("members") / F.lit(cluster_rows)).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    dealt = clusters.select("id", "component", parts.alias("parts"), own.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = F.col("parts") > 1
-    dealt = dealt.select(
-        "id", "component", large.alias("large"), F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"),
-        F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
+def _in_groups(of: str, compared: Callable) -> Callable[[pa.Table], pa.Table]:
+    """The task of ``verify`` and ``across``: links within each group of the table (id, group, side and label where there
+    are such, and the column that ``compared`` makes a comparison of)."""
 
     def each(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
             return LINKS.empty_table()
-        table = table.sort_by([("component", "ascending"), ("id", "ascending")])
-        ids, side, sets = table.column("id").to_numpy(), table.column("side").to_numpy(), sets_of(table.column(of))
-        _, start, end = groups_of(table.column("component").to_numpy())
-        two = np.flatnonzero(end - start == 2)
-        a, b = (x.tolist() for x in _link_pairs(ids, start[two], sets, side, num, den))
-        for s, e in zip(start, end, strict=True):
-            if e - s > 2:
-                x, y = _link_sets(ids[s:e], side[s:e], sets[s:e], num, den)
-                a += x
-                b += y
+        table = table.sort_by([("group", "ascending"), ("id", "ascending")])
+        key, ids = table.column("group").to_numpy(), table.column("id").to_numpy()
+        _, start, end = groups_of(key)
+        group = np.repeat(np.arange(len(start)), end - start)
+        side = label = None
+        if "side" in table.column_names:
+            side = table.column("side").to_numpy()
+            own = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+            label = np.unique(group * np.int64(len(ids)) + own, return_inverse=True)[1]
+        a, b = forest(start, end, ids, compared(table.column(of), group), side, label)
         return pa.table([a, b], schema=LINKS)
 
-    return sets.join(dealt, "id").groupBy("large", "pack", "lo", "hi").applyInArrow(each, "a long, b long")
+    return each
 
 
-def with_members(found: DataFrame) -> DataFrame:
-    """id, component, members (how many ids the component has)."""
-    return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+def across(payload: DataFrame, of: str, members: DataFrame, labels: DataFrame, compared: Callable, rows: int) -> DataFrame:
+    """a, b: links inside the groups of ``members`` (group, id) between items that ``labels`` (id, component) don't join yet.
+
+    ``payload``: id and the column ``of``. Of each group the items of its most frequent label don't meet each other; all others
+    meet all, in pairs of parts of about ``rows`` items.
+    """
+    own = cut(members.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("label")))
+    counted = own.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = counted.groupBy("group").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
+    top = cut(top.where(F.col("n") > F.col("top.c")).select("group", "n", F.col("top.label").alias("most"), F.ceil((F.col("n") - F.col("top.c")) / rows).cast("int").alias("pf"), F.ceil(F.col("n") / rows).cast("int").alias("pn")))
+    met = beside(own, top, "group", top.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    part = lambda of_: F.pmod(F.xxhash64("id", F.lit(3)), of_).cast("int")
+    all_ = met.select("group", "id", "label", F.explode(F.sequence(F.lit(0), F.col("pf") - 1)).alias("lo"), part(F.col("pn")).alias("hi"), F.lit(2).alias("side"))
+    few = met.where(F.col("label") != F.col("most")).select("group", "id", "label", part(F.col("pf")).alias("lo"), F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("hi"), F.lit(1).alias("side"))
+    dealt = all_.unionByName(few)
+    return payload.join(dealt, "id").groupBy("group", "lo", "hi").applyInArrow(_in_groups(of, compared), "a long, b long")
+
+
+def verify(payload: DataFrame, of: str, clusters: DataFrame, sets_of: Callable, num: int = 4, den: int = 5, cluster_rows: int = 512, pack_rows: int = 1024) -> DataFrame:
+    """a, b: exact links (similarity at least num / den) inside candidate clusters, as spanning forests.
+
+    ``payload``: id and the column ``of`` (a text), of which ``sets_of`` makes sorted distinct uint64 and their bounds, equal
+    numbers for equal elements of one call; ``clusters``: id, component (one of its ids), members.
+    """
+
+    def compared(column: pa.ChunkedArray, group: np.ndarray):
+        return set_comparer(*sets_of(column), group, num, den)
+
+    packs = max(8, -(-clusters.count() // pack_rows))
+    parts = F.ceil(F.col("members") / F.lit(cluster_rows)).cast("int")
+    large = F.col("members") > cluster_rows
+    own = F.array(F.pmod(F.xxhash64("id", "component"), parts).cast("int"))
+    lo = F.explode(F.when(large & (F.col("id") == F.col("component")), F.sequence(F.lit(0), parts - 1)).otherwise(own))
+    dealt = clusters.select("id", F.col("component").alias("group"), large.alias("large"), F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"), lo.alias("lo"))
+    links = payload.join(dealt, "id").groupBy("large", "pack", "lo").applyInArrow(_in_groups(of, compared), "a long, b long")
+    big = clusters.where(large).select(F.col("component").alias("group"), "id")
+    if big.isEmpty():
+        return links
+    links = cut(links)
+    return links.unionByName(across(payload, of, big, components(links), compared, cluster_rows))

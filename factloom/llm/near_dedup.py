@@ -13,8 +13,10 @@ spanning forests of links are passed on.
 Defined cases: a document without words has an empty set, is linked with nothing and is its own component; one with fewer
 words than a shingle has its whole sequence as one shingle; of repeated identifiers each row gets the component of its
 own text; a null identifier doesn't name a component (component_id is null where a component has no other) and is kept
-only there; an empty table gives an empty result; columns besides doc_id and text are ignored. A set is known by a 64-bit
-hash of its shingles' 64-bit hashes.
+only there; an empty table gives an empty result; columns besides doc_id and text are ignored.
+
+Links between different sets are confirmed on the words themselves. Only that two sets are equal is told by a 64-bit hash of
+them (of 10^9 different sets, two share one with a probability of 3%).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near
-from factloom.llm.common import LOWER, SPACE, binaries, cut, distinct_in_rows, mix, packed, run_hashes, runs, settle, shingle_hashes, slices, small_batches
+from factloom.llm.common import LOWER, SPACE, binaries, cut, distinct_in_rows, exact_shingles, mix, packed, packed_others, run_hashes, runs, settle, shingle_hashes, slices, small_batches, unpacked
 
 ADDED = ["n_shingles", "component_id", "kept"]
 
@@ -49,9 +51,14 @@ def set_ids(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(total ^ mix(crossed + np.diff(starts).astype(np.uint64))).view(np.int64)
 
 
+def with_digest(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and a hash of both, which tells rows of one identifier apart; and further columns."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("digest"), *more)
+
+
 def describe(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, id (of the set; null if empty) and sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("id", pa.int64()), ("sig", pa.binary())])
+    """doc_id, digest, n_shingles, id (of the set; null if empty) and sig."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("id", pa.int64()), ("sig", pa.binary())])
 
     def each(batches):
         for batch in batches:
@@ -64,58 +71,50 @@ def describe(docs: DataFrame, size: int, k: int) -> DataFrame:
                 ids[full] = set_ids(h, own)
                 sig = near.signatures(h, own, k)
                 bounds = np.r_[0, np.cumsum(np.where(n > 0, k, 0))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(ids, mask=n == 0), binaries(sig.ravel(), bounds)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, id long, sig binary")
-
-
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and hashes (binary of uint64) of each row's shingle set."""
-    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
-
-    def each(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, starts = word_shingles(part.column("text"), size)
-                full = np.flatnonzero(np.diff(starts))
-                own = np.r_[starts[full], len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, own)), binaries(h, own)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n), pa.array(ids, mask=n == 0), binaries(sig.ravel(), bounds)], schema=schema)
 
-    return docs.select("text").mapInArrow(each, "id long, hashes binary")
+    return with_digest(docs).mapInArrow(each, "doc_id long, digest long, n_shingles long, id long, sig binary")
 
 
-def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: int = 64, least: int = 32, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, for each row of ``docs``: similarity num / den or more links."""
+def near_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: int = 64, least: int = 32, item_rows: int = 8192, list_rows: int = 1024, cluster_rows: int = 512) -> DataFrame:
+    """doc_id, digest (see ``with_digest``), n_shingles, component_id, kept, for each row of ``docs``."""
+    form = near.coordinates(k, least, near.coordinate_tokens)
     rows = settle(describe(small_batches(docs), size, k))
     items = settle(rows.where("id is not null").dropDuplicates(["id"]).select("id", "sig"))
     parts = max(8, -(-items.count() // item_rows))
     items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    shared = near.shared_tokens(items, near.coordinate_tokens, k, parts)
-    lists = near.post(items, shared, near.coordinate_tokens, near.prefix_of(least), k, parts, list_rows)
-    candidates = cut(near.with_members(near.components(near.collide(lists, k, least))))
+    shared = near.shared_tokens(items, form, parts)
+    lists = near.post(items, shared, form, near.prefix_of(least), parts, list_rows)
+    clusters = near.candidates(lists, form, list_rows)
 
     # one row's text for each candidate set
-    chosen = rows.join(candidates.select("id"), "id").groupBy("id").agg(F.min("doc_id").alias("_doc")).select("_doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_doc"]), "left_semi")
-    sets = full_sets(texts, size).dropDuplicates(["id"])
-    found = near.components(near.verify(sets, candidates, num, den))
+    chosen = rows.join(clusters.select("id"), "id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))).alias("c")).select("id", "c.*")
+    texts = with_digest(docs)
+    texts = texts.join(chosen, (texts["digest"] == chosen["_digest"]) & texts["doc_id"].eqNullSafe(chosen["_doc"])).select("id", "text").dropDuplicates(["id"])
+    found = near.components(near.verify(texts, "text", clusters, lambda column: exact_shingles(column, size), num, den, cluster_rows))
 
     grouped = rows.drop("sig").join(found, "id", "left").withColumn("_group", F.coalesce("component", "id"))
     # cut, so that the join below reads two exchanges and Spark can split a large group
     least_doc = cut(grouped.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least")))
     out = grouped.join(least_doc, "_group", "left")
     component = F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_groups(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, for each row of ``docs``: similarity num / den or more links."""
+    return near_rows(docs, **how).drop("digest")
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component left; the columns of ``docs`` stay as they are.
+    """``docs`` with one document of each component left; the columns of ``docs`` stay as they are, whatever their names.
 
-    Rows of one identifier are told apart by nothing else, so they go or stay together.
+    Rows that share identifier and text are told apart by nothing else, so they go or stay together.
     """
-    kept = near_groups(docs, **how).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]), "left_semi")
+    kept = near_rows(docs, **how).where("kept").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct()
+    rows = packed_others(docs, "doc_id", "text")
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    return unpacked(rows.join(kept, (key == kept["_digest"]) & rows["doc_id"].eqNullSafe(kept["_doc"]), "left_semi"), docs.columns)
 
 
 def op6_minhash_near_dedup(spark, sf_dir):

@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near, screen
-from factloom.llm.common import binaries, cut, packed, settle, slices
+from factloom.llm.common import binaries, cut, packed, packed_others, settle, slices, unpacked
 from factloom.llm.near_dedup import set_ids
 
-
 #: Texts are worked on in slices of about so many bytes, whose arrays stay in the processor's caches.
 SLICE = 1 << 18
 
@@ -53,18 +52,13 @@ class Units:
 
 @dataclass(frozen=True)
 class Kind:
-    """How units are cut and compared. ``cut``: UTF-8 bytes of texts and where each begins -> Units; ``alone``: the same for
-    texts that are one unit each; ``sign``: hashes and bounds -> k coordinates as uint32; bands have ``rows`` coordinates. ``flagged``: see ``near.collide``."""
+    """How units are cut and compared. ``cut``: UTF-8 bytes of texts and where each begins -> Units; ``sets``: a column of units'
+    bytes -> their sets, for verification; ``sign``: hashes and bounds -> a matrix of signatures' bytes; ``form``: see near."""
 
     cut: Callable
-    alone: Callable
+    sets: Callable
     sign: Callable
-    k: int
-    rows: int
-    flagged: bool = False
-
-    def tokens(self, sig: np.ndarray) -> np.ndarray:
-        return near.band_tokens(sig, self.rows)
+    form: near.Form
 
 
 def tuned_bands(similarity: float, recall: float, rows: int) -> int:
@@ -72,11 +66,13 @@ def tuned_bands(similarity: float, recall: float, rows: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
 
 
-_FOUND = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("unit", pa.binary()), ("sig", pa.binary())])
+#: What tells the first of several occurrences: null identifiers come last.
+PLACE = ["late", "doc_id", "digest", "start", "end", "place"]
+_FOUND = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("unit", pa.binary()), ("sig", pa.binary())])
 
 
 def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc, place, start, end, id, unit (its bytes) and sig of every unit that shares a band with another one, written once."""
+    """doc_id, digest, place, start, end, id, unit (its bytes) and sig of every unit that shares a band with another one, written once."""
     blocks, n = screen.blocks_of(docs, block_bytes)
     buckets = max(8, n // 4)
 
@@ -84,7 +80,7 @@ def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataF
         out = []
         for part in slices(texts, "text", SLICE):
             u = kind.cut(*packed(part.column("text")))
-            out.append(kind.tokens(kind.sign(u.h, u.bounds)).ravel())
+            out.append(kind.form.tokens(kind.sign(u.h, u.bounds)).ravel())
         return np.concatenate(out)
 
     def found(texts: pa.Table, side: pa.Table) -> pa.Table:
@@ -98,83 +94,86 @@ def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataF
         data, offs = packed(texts.column("text"))
         u = kind.cut(data, offs)
         sig = kind.sign(u.h, u.bounds)
-        keep = known(kind.tokens(sig).ravel()).reshape(len(sig), -1).any(axis=1)
+        keep = known(kind.form.tokens(sig).ravel()).reshape(len(sig), -1).any(axis=1)
         if not keep.any():
             return None
         u, sig = u.take(keep), sig[keep]
         size = u.end - u.start
         own = data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(u.start, size)]
         first = offs[u.row]
-        doc = texts.column("doc").to_numpy()[u.row]
+        row = pa.array(u.row)
         return pa.table(
-            [pa.array(doc), pa.array(u.place), pa.array(u.start - first), pa.array(u.end - first), pa.array(set_ids(*u.distinct_sets())), binaries(own, np.r_[0, np.cumsum(size)]), binaries(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1])],
+            [texts.column("doc_id").take(row), texts.column("digest").take(row), pa.array(u.place), pa.array(u.start - first), pa.array(u.end - first), pa.array(set_ids(*u.distinct_sets())), binaries(own, np.r_[0, np.cumsum(size)]), binaries(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1])],
             schema=_FOUND,
         )
 
     empty = blocks.sparkSession.createDataFrame([], screen.SIDE)
     shared = screen.shared_fingerprints(blocks, empty, tokens_of, buckets)
-    return settle(screen.met(blocks, shared, found, "doc long, place long, start long, end long, id long, unit binary, sig binary"))
+    return settle(screen.met(blocks, shared, found, "doc_id long, digest long, place long, start long, end long, id long, unit binary, sig binary"))
+
+
+def place() -> "F.Column":
+    return F.struct(F.col("doc_id").isNull().alias("late"), *PLACE[1:])
 
 
 def distinct_units(found: DataFrame, *carried: str) -> DataFrame:
-    """id, n (occurrences), first (doc, place, start, end of the first one) and the carried columns; written once."""
-    own = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "start", "end")).alias("first"), *[F.first(c).alias(c) for c in carried])
+    """id, n (occurrences), first (the place of the first one) and the carried columns; written once."""
+    own = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), *[F.first(c).alias(c) for c in carried])
     return settle(own)
 
 
-def close_units(distinct: DataFrame, kind: Kind, least: int, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
+def close_units(distinct: DataFrame, kind: Kind, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
     """id, component, members: the candidates among distinct units (id, sig)."""
     parts = max(8, -(-distinct.count() // item_rows))
     items = distinct.select("id", "sig", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))
-    shared = near.shared_tokens(items, kind.tokens, kind.k, parts)
-    lists = near.post(items, shared, kind.tokens, near.every_shared, kind.k, parts, list_rows)
-    return cut(near.with_members(near.components(near.collide(lists, kind.k, least, flagged=kind.flagged))))
+    lists = near.post(items, near.shared_tokens(items, kind.form, parts), kind.form, near.every_shared, parts, list_rows)
+    return near.candidates(lists, kind.form, list_rows)
 
 
 def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
     """id, component of units (id, unit) that links with full sets join; the units' texts travel, not their sets."""
-
-    def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
-        out = []
-        for part in slices(pa.table({"unit": column}), "unit", SLICE):
-            h, bounds = kind.alone(*packed(part.column("unit"))).distinct_sets()
-            out += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
-
-    return near.components(near.verify(units.select("id", "unit"), close, num, den, of="unit", sets_of=sets_of))
+    return near.components(near.verify(units.select("id", "unit"), "unit", close, kind.sets, num, den))
 
 
 def occurrences(found: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
-    """doc, place, start, end, component, keep_doc, keep_place of the occurrences in components with two or more of them.
+    """doc_id, digest, place, start, end, component, keep (the place of the occurrence that stays) of the occurrences in
+    components with two or more of them.
 
     Components are counted over distinct units, so that the occurrences themselves are shuffled once.
     """
-    grouped = distinct.select("id", "n", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keep = grouped.groupBy("component").agg(F.sum("n").alias("n"), F.min(F.struct("first.doc", "first.place")).alias("keep")).where("n > 1")
-    units = cut(grouped.select("id", "component").join(keep.select("component", "keep"), "component"))
-    return found.join(units, "id").select("doc", "place", "start", "end", "component", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place"))
+    grouped = cut(distinct.select("id", "n", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    keep = cut(grouped.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"), F.min("first").alias("keep")).where("total > 1").drop("total"))
+    units = cut(near.beside(grouped.select("id", "component"), keep, "component", keep.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).drop("n"))
+    return found.select("doc_id", "digest", "place", "start", "end", "id").join(units, "id").drop("id")
 
 
 def per_document(docs: DataFrame, found: DataFrame, unit: str) -> DataFrame:
-    """doc_id, n_linked, n_removed and removed (array of the unit's place, its bytes [start, end) and the occurrence that
-    stays), a row for each identifier among ``docs``; rows that share an identifier share a row."""
-    gone = (F.col("doc") != F.col("keep_doc")) | (F.col("place") != F.col("keep_place"))
-    what = F.struct(F.col("place").alias(unit), "start", "end", "component", F.when(F.col("keep_doc") != screen.NO_ID, F.col("keep_doc")).alias("keep_doc_id"), F.col("keep_place").alias(f"keep_{unit}"))
-    own = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_linked"), F.sort_array(F.collect_list(F.when(gone, what))).alias("removed"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(screen.NO_ID)).alias("doc")).distinct()
-    out = ids.join(own, "doc", "left")
-    return out.select(
-        F.when(F.col("doc") != screen.NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed",
-    )
+    """doc_id, digest (of identifier and text), n_linked, n_removed and removed (array of the unit's place, its bytes [start,
+    end) and the occurrence that stays), a row for each different (doc_id, text) among ``docs``.
+
+    An occurrence stays where it overlaps the one that its component keeps.
+    """
+    same = F.col("digest") == F.col("keep.digest")
+    gone = ~(same & (F.col("start") < F.col("keep.end")) & (F.col("keep.start") < F.col("end")))
+    what = F.struct(F.col("place").alias(unit), "start", "end", "component", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.place").alias(f"keep_{unit}"))
+    own = found.groupBy("digest").agg(F.size(F.collect_set("place")).alias("n_linked"), F.sort_array(F.collect_set(F.when(gone, what))).alias("removed"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("digest")).distinct()
+    return ids.join(own, "digest", "left").select("doc_id", "digest", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the bytes of the removed units of their identifier."""
-    gone = removed.where("n_removed > 0").select(F.coalesce("doc_id", F.lit(screen.NO_ID)).alias("_doc"), F.expr("transform(removed, x -> struct(x.start as s, x.end as e))").alias("_cut"))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(screen.NO_ID))).join(gone, F.col("_id") == F.col("_doc"), "left")
+    """``docs``, with any columns, without the bytes of the units removed from their text."""
+    gone = removed.where("n_removed > 0").select(F.col("digest").alias("_digest"), F.expr("array_sort(transform(removed, x -> struct(x.start as s, x.end as e)))").alias("_cut"))
+    rows = packed_others(docs, "doc_id", "text")
+    own = rows.join(gone, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))) == F.col("_digest"), "left")
+    # spans may overlap: what stays lies between the furthest end so far and the next start
+    spans = F.concat("_cut", F.array(F.struct(F.octet_length("text").cast("long").alias("s"), F.octet_length("text").cast("long").alias("e"))))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     raw = F.encode("text", "UTF-8")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda x: x["e"]))
-    starts = F.concat(F.transform("_cut", lambda x: x["s"]), F.array(F.octet_length("text").cast("long")))
-    parts = F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda x: F.decode(F.substring(raw, x["e"].cast("int") + 1, (x["s"] - x["e"]).cast("int")), "UTF-8"))
-    return own.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))).select(*docs.columns)
+
+    def step(a, x):
+        piece = F.decode(F.substring(raw, a["at"].cast("int") + 1, (x["s"] - a["at"]).cast("int")), "UTF-8")
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] > a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+    left = F.array_join(F.aggregate(spans, zero, step)["out"], "")
+    return unpacked(own.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).drop("_digest", "_cut"), docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.near import _dealt, groups_of
 
-#: Stands for a null identifier: greater than all others.
+#: The place of a null identifier in the order: behind all others.
 NO_ID = (1 << 63) - 1
 
 SIDE = "block long, kind int, bucket long, a binary, b binary"
@@ -29,11 +29,13 @@ SHARED, OTHER, RESULT = 0, 1, 2
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """doc (identifier, NO_ID for null), text (null: empty) and block, of all rows; and how many blocks."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, digest (of doc_id and text), doc (the identifier's place in the order), text (null: empty) and block, of all
+    rows; and how many blocks. Blocks go by the digest, so that rows without an identifier, or of one, are in many."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n = max(8, -(-total // block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n))), n
+    rows = rows.withColumn("digest", F.xxhash64("doc_id", "text"))
+    return rows.select("doc_id", "digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", F.pmod("digest", F.lit(n)).alias("block")), n
 
 
 def in_order(table: pa.Table) -> pa.Table:
