@@ -90,7 +90,8 @@ def near_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: int
     # one row's text for each candidate set
     chosen = rows.join(clusters.select("id"), "id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))).alias("c")).select("id", "c.*")
     texts = with_digest(docs)
-    texts = texts.join(chosen, (texts["digest"] == chosen["_digest"]) & texts["doc_id"].eqNullSafe(chosen["_doc"])).select("id", "text").dropDuplicates(["id"])
+    texts = texts.join(chosen, (texts["digest"] == chosen["_digest"]) & texts["doc_id"].eqNullSafe(chosen["_doc"])).select("id", "text")
+    texts = settle(texts.dropDuplicates(["id"]))
     found = near.components(near.verify(texts, "text", clusters, lambda column: exact_shingles(column, size), num, den, cluster_rows))
 
     grouped = rows.drop("sig").join(found, "id", "left").withColumn("_group", F.coalesce("component", "id"))

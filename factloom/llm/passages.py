@@ -132,7 +132,8 @@ def close_units(distinct: DataFrame, kind: Kind, item_rows: int = 8192, list_row
 
 def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
     """id, component of units (id, unit) that links with full sets join; the units' texts travel, not their sets."""
-    return near.components(near.verify(units.select("id", "unit"), "unit", close, kind.sets, num, den))
+    some = settle(units.select("id", "unit").join(close.select("id"), "id", "left_semi"))
+    return near.components(near.verify(some, "unit", close, kind.sets, num, den))
 
 
 def occurrences(found: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def occurrences(found: DataFrame, distinct: DataFrame, joined: DataFrame) -> Dat
 
     Components are counted over distinct units, so that the occurrences themselves are shuffled once.
     """
-    grouped = cut(distinct.select("id", "n", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    grouped = distinct.select("id", "n", "first").join(joined, "id", "left").where("n > 1 or component is not null")
+    grouped = cut(grouped.withColumn("component", F.coalesce("component", "id")))
     keep = cut(grouped.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"), F.min("first").alias("keep")).where("total > 1").drop("total"))
     units = cut(near.beside(grouped.select("id", "component"), keep, "component", keep.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).drop("n"))
     return found.select("doc_id", "digest", "place", "start", "end", "id").join(units, "id").drop("id")
