@@ -1,14 +1,13 @@
 """Chat formatting with a loss mask, by incremental black-box rendering.
 
-A template is only a function from messages to text. Rendering the prefixes of a conversation one turn at a time and
-comparing consecutive outputs gives each turn's span: what the next output adds to the one before. Rendering the same
+A template is only a function from messages to text. Rendering all prefixes of a conversation, one turn longer each time,
+and comparing consecutive outputs gives each turn's span: what the next output adds to the one before. Rendering the same
 prefix with two probe texts in the last turn shows where inside that span the text stands (the outputs differ there
 only). An output that does not begin with the one before means that the template rewrites history; the conversation is
-then marked and has no spans.
+then marked and has no spans. A turn that adds nothing (a role that the template leaves out) has an empty span.
 
-A conversation of more than ``window`` turns is rendered in prefixes of its last ``window`` turns, so that the work
-stays linear, and the parts' texts, one after the other, are compared with one rendering of the whole; where they differ, whole
-prefixes are rendered. A conversation is one row of the result, so its turns meet in one task.
+Every prefix is rendered in full, whatever the number of turns: that costs the square of a conversation's turns, and
+nothing less shows that a black box leaves history alone. A conversation is one row of the result and one task's.
 
 Defined cases: turns go by turn, then role, then text, nulls first; a null role or text is empty; a null conv_id is one
 conversation of its own; repeated rows are repeated turns; an empty table gives an empty result.
@@ -75,32 +74,26 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def locate(render: Callable[[Messages], str], messages: Messages, window: int = 64) -> Located:
-    whole = render(messages)
-    for span in (window, len(messages)) if len(messages) > window else (len(messages),):
-        turns, texts, at, good = [], [], len(render([])), True
-        before = render([])
-        parts = [before]
-        for k, (role, _) in enumerate(messages):
-            past = messages[max(0, k + 1 - span) : k]
-            before = render(past) if k >= span else before
-            now = render([*past, messages[k]])
-            if not now.startswith(before):
-                good = False
-                break
-            one, two = render([*past, (role, "a")]), render([*past, (role, "b")])
+def locate(render: Callable[[Messages], str], messages: Messages) -> Located:
+    turns, texts = [], []
+    before = render([])
+    for k, (role, _) in enumerate(messages):
+        past = messages[:k]
+        now = render(messages[: k + 1])
+        if not now.startswith(before):
+            return Located(render(messages), [], [], True)
+        one, two = render([*past, (role, "a")]), render([*past, (role, "b")])
+        turns.append((len(before), len(now)))
+        if one == two:  # the text is not shown
+            texts.append((len(now), len(now)))
+        else:
             head = _common(one, two)
-            tail = len(one) - head - 1
-            turns.append((at, at + len(now) - len(before)))
-            texts.append((at + head - len(before), at + len(now) - tail - len(before)))
-            parts.append(now[len(before) :])
-            at, before = turns[-1][1], now
-        if good and "".join(parts) == whole and all(whole[s:e] for s, e in turns):
-            return Located(whole, turns, texts)
-    return Located(whole, [], [], True)
+            texts.append((head, len(now) - (len(one) - head - 1)))
+        before = now
+    return Located(before, turns, texts)
 
 
-def format_chats(conversations: DataFrame, render: Callable[[Messages], str] = marked_turns, loss_role: str = "assistant", window: int = 64) -> DataFrame:
+def format_chats(conversations: DataFrame, render: Callable[[Messages], str] = marked_turns, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, turn_spans, text_spans, loss_spans (arrays of [start, end) in code points), rewrites_history."""
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
@@ -110,7 +103,7 @@ def format_chats(conversations: DataFrame, render: Callable[[Messages], str] = m
             rows = []
             for conv, ms in zip(batch["conv_id"], batch["m"], strict=True):
                 messages = [(m["role"], m["text"]) for m in ms]
-                found = locate(render, messages, window)
+                found = locate(render, messages)
                 loss = [list(t) for t, (role, _) in zip(found.texts, messages, strict=False) if role == loss_role]
                 rows.append((conv, found.formatted, [list(t) for t in found.turns], [list(t) for t in found.texts], loss, found.rewrites_history))
             out = pd.DataFrame(rows, columns=["conv_id", "formatted", "turn_spans", "text_spans", "loss_spans", "rewrites_history"])

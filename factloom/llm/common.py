@@ -39,14 +39,19 @@ def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_settled(spark: SparkSession, kept: DataFrame | None = None) -> None:
-    """Removes the folders settled so far, but for the one that ``kept`` reads: for callers whose earlier frames are used up."""
-    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in kept.inputFiles()} if kept is not None else set()
-    for path in list(_settled):
-        if path.rsplit("/", 1)[-1] not in own:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-            _settled.remove(path)
+def settled() -> set[str]:
+    """The folders that stand now."""
+    return set(_settled)
+
+
+def clear_settled(spark: SparkSession, spared: set[str], read: DataFrame | None = None) -> None:
+    """Removes what was settled but for the folders ``spared`` and those that ``read`` reads: for callers whose earlier frames
+    are used up."""
+    own = {f.rsplit("/", 2)[-2] for f in read.inputFiles()} if read is not None else set()
+    for path in [p for p in _settled if p not in spared and p.rsplit("/", 1)[-1] not in own]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _settled.remove(path)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -2,20 +2,23 @@
 
 Words, word pairs and strings of three bytes of whole texts are hashed into ``buckets`` each. The raw model counts all
 documents; the target model counts documents labelled good and is shrunk towards the raw one, so that a bucket that the
-target has hardly seen says nothing. A document's log importance weight adds up, for words, pairs and byte strings, the
-mean log ratio times their number, ``span`` at most: a long text is then not decided by its length. Its key is the weight
-plus a Gumbel draw that depends on (seed, doc_id) alone; the k rows with the largest keys are the sample, which is drawing k without replacement in
-proportion to the weights.
+target has hardly seen says nothing. A document's log importance weight is the sum of the log ratios of all its n-grams,
+the log ratio of what the two models say of the whole text.
 
-k is the number of documents whose weight reaches a threshold, chosen on labelled documents that neither model's target
+That sum grows with the text, so that drawing by it would be choosing by length. Sampling goes by the score: of each kind the
+mean log ratio times half * tanh(n / half), n being how many n-grams there are; it is the same rule at every length, near the
+sum for short texts and near ``half`` times the mean for long ones. A document's key is its score plus a Gumbel draw that depends on (seed, doc_id) alone; the k rows
+with the largest keys are the sample, which is drawing k without replacement in proportion to exp(score).
+
+k is the number of documents whose score reaches a threshold, chosen on labelled documents that neither model's target
 side has seen. The k-th largest key is found exactly by counting keys by their leading bits, 16 at a time, so that no task
 and not the driver ever holds the keys.
 
 The target model and the threshold use at most ``max_labelled`` labelled documents (those with the smallest hash of
-doc_id), a documented bound, so their list may be shipped to the tasks; raw counts, weights and the sample cover all
+doc_id), a documented bound, so their list may be shipped to the tasks; raw counts, scores and the sample cover all
 documents and whole texts.
 
-Defined cases: a null or empty text has no n-grams, weight 0 and competes like any other; without labels of both kinds all
+Defined cases: a null or empty text has no n-grams, score 0 and competes like any other; without labels of both kinds all
 documents are kept; null labels are ignored; a document labelled more than once counts with its worst label; a null doc_id
 draws as one identifier; rows with equal keys at the k-th place all stay; an empty table gives an empty result; columns
 besides doc_id and text are carried along, but for ones named like the added columns.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, packed_others, run_hashes, runs, settle, slices, small_batches, unpacked
 
-ADDED = ["log_weight", "key", "kept"]
+ADDED = ["log_weight", "score", "key", "kept"]
 BYTES = 3
 KINDS = 3
 
@@ -81,28 +84,29 @@ def log_ratios(counts, buckets: int, prior: float) -> np.ndarray:
     return np.log(q / p).ravel()
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, span: int) -> DataFrame:
-    """``docs`` with log_weight."""
-    kept = [f for f in docs.schema.fields if f.name not in ADDED]
-    docs = docs.select(*[f.name for f in kept])
+def weigh(docs: DataFrame, ratios: np.ndarray, half: float, columns: list[str]) -> DataFrame:
+    """The columns of ``docs`` with log_weight and score."""
+    kept = [f for f in docs.schema.fields if f.name in columns]
+    docs = docs.select(*[f.name for f in docs.schema.fields if f.name in columns or f.name == "text"])
     buckets = len(ratios) // KINDS
 
     def each(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
-                weight = np.zeros(part.num_rows)
+                weight, score = np.zeros(part.num_rows), np.zeros(part.num_rows)
                 for b, row in ngram_buckets(part.column("text"), buckets):
                     n = np.bincount(row, minlength=part.num_rows)
                     total = np.bincount(row, ratios[b], minlength=part.num_rows)
-                    weight += total / np.maximum(n, 1) * np.minimum(n, span)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], [*part.schema.names, "log_weight"])
+                    weight += total
+                    score += total / np.maximum(n, 1) * half * np.tanh(n / half)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(weight), pa.array(score)], [*[f.name for f in kept], "log_weight", "score"])
 
-    return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double")
+    return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double, score double")
 
 
-def threshold(scored: list[tuple[float, int]], good_is_worth: float = 60.0) -> float:
-    """Where the labelled (weight, 1 good or -1 bad) part best, a good document lost counting as much as ``good_is_worth`` bad ones kept;
-    in the middle of the gap that is found."""
+def threshold(scored: list[tuple[float, int]], good_is_worth: float) -> float:
+    """Where the labelled (score, 1 good or -1 bad) part best, a good document lost counting as much as ``good_is_worth`` bad ones
+    kept (as shares of the good and of the bad); in the middle of the gap that is found."""
     good = np.sort([w for w, y in scored if y > 0])
     bad = np.sort([w for w, y in scored if y < 0])
     if not len(good) or not len(bad):
@@ -153,9 +157,14 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return float(np.array([x], np.uint64).view(np.float64)[0])
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior: float = 5.0, span: int = 64, max_labelled: int = 20_000, seed: int = 11) -> DataFrame:
-    """``docs`` with log_weight, key and kept (whether the row is among the k of the sample)."""
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior: float = 5.0, half: float = 32.0, good_is_worth: float = 60.0, max_labelled: int = 20_000, seed: int = 11, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with log_weight, score, key and kept (whether the row is among the k of the sample).
+
+    Scored rows are written once, so that texts are read twice in all: for the counts and for the scores. ``good_is_worth``: a
+    filter that loses one good document in a hundred is as bad as one that keeps 60 of a hundred bad ones.
+    """
     docs = small_batches(docs)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ADDED]
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality") == 0, -1)
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("y")).where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     ids = np.array([r["doc_id"] for r in chosen], np.int64)
@@ -163,15 +172,15 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior:
     held = mix(ids.astype(np.uint64) + np.uint64(seed)) % np.uint64(4) == 0  # a quarter is for the threshold
     ratios = log_ratios(count_models(docs, np.sort(ids[(y > 0) & ~held]), buckets).collect(), buckets, prior)
 
-    weighed = weigh(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ratios, span).withColumn("key", F.col("log_weight") + gumbel(seed))
-    keys = settle(weighed.select("doc_id", "log_weight", "key"))
+    weighed = weigh(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ratios, half, columns)
+    keys = settle(weighed.withColumn("key", F.col("score") + gumbel(seed)))
     spark = docs.sparkSession
     held_out = spark.createDataFrame([(int(i), int(v)) for i, v in zip(ids[held | (y < 0)], y[held | (y < 0)], strict=True)], "doc_id long, y int")
-    scored = keys.join(F.broadcast(held_out), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("y").alias("y")).collect()
-    least = threshold([(r["w"], r["y"]) for r in scored])
-    n, k = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("log_weight") >= F.lit(least)).cast("long")), F.lit(0))).first()
+    scored = keys.join(F.broadcast(held_out), "doc_id").groupBy("doc_id").agg(F.min("score").alias("w"), F.min("y").alias("y")).collect()
+    least = threshold([(r["w"], r["y"]) for r in scored], good_is_worth)
+    n, k = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("score") >= F.lit(least)).cast("long")), F.lit(0))).first()
     at = kth_largest(keys, k) if 0 < k < n else (-np.inf if k else np.inf)
-    return weighed.withColumn("kept", F.col("key") >= F.lit(float(at)))
+    return keys.withColumn("kept", F.col("key") >= F.lit(float(at)))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -182,4 +191,4 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def op2_importance_resampling(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
+    return resample(docs, labels, columns=["doc_id"]).select("doc_id", "log_weight", "score", "key", "kept")

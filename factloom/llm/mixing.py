@@ -12,7 +12,7 @@ dozen rows of each source, settled by trying every rounding.
 
 Sizes and sources alone are shuffled, never texts. Defined cases: a null or empty text has size 0 and is taken like the
 others (it only counts as a row); a null source is a source of its own and the last; the probabilities depend on a hash
-of (seed, doc_id) and on values only, so reruns agree, and rows that are equal in all of these are interchangeable; a
+of (seed, doc_id, text) and on values only, so reruns agree, and rows that are equal in all of these are interchangeable; a
 source of size 0 has target 0 and takes nothing; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -113,11 +113,11 @@ def _land(group: pd.DataFrame, held_back: int = 12) -> pd.DataFrame:
 
 def cube_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, group_rows: int = 2000) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (= copies * size) of every row of ``docs``."""
-    sizes = docs.select("doc_id", "source", n_words().alias("size"))
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("_digest"), n_words().alias("size"))
     aims = cut(targets(sizes, share, cap, weights))  # one row per source, and each later step starts from it
     rows = sizes.join(aims, sizes["source"].eqNullSafe(aims["source"]), "left").select(sizes["*"], "source_size", "n_rows", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = cut(rows.withColumn("_whole", F.floor(rate)).withColumn("_p", rate - F.floor(rate)).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")))
+    rows = cut(rows.withColumn("_whole", F.floor(rate)).withColumn("_p", rate - F.floor(rate)).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "_digest")))
     done = []
     widest = aims.agg(F.max("n_rows")).first()[0] or 0
     while True:
@@ -138,22 +138,27 @@ def cube_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     for d in done[1:]:
         out = out.unionByName(d.select(*RESULT))
     copies = (F.col("_whole") + F.col("_p").cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_digest")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``.
 
-    A row is known by doc_id and source; rows that share both are told apart by their order of size.
+    A row is known by doc_id, source and a hash of its text; of rows that share all three it makes no difference which one a
+    number of copies belongs to, but each number goes to one row.
     """
-    taken = cube_mix(docs, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_source").orderBy("size"))).where("copies > 0")
-    rows = packed_others(docs, "doc_id", "source", "text").withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(n_words())))
-    own = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_n")))
-    return unpacked(own.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
-
-
-RESULT = ["doc_id", "source", "size", "source_size", "target", "_whole", "_p"]
+    key = ["_doc", "_source", "_text"]
+    taken = cube_mix(docs, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("_digest").alias("_text"), "copies")
+    taken = taken.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    rows = packed_others(docs, "doc_id", "source", "text").withColumn("_digest", F.xxhash64("text"))
+    own = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_text")))
+    alone = own.where(F.size("_copies") == 1).withColumn("_n", F.element_at("_copies", 1))
+    several = own.where(F.size("_copies") > 1).withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_others")))).withColumn("_n", F.element_at("_copies", F.col("_at"))).drop("_at")
+    out = alone.unionByName(several).where("_n > 0")
+    return unpacked(out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))), docs.columns)
+
+
+RESULT = ["doc_id", "source", "size", "source_size", "target", "_whole", "_p", "_digest"]
 
 
 def op1_cube_mixing(spark, sf_dir):

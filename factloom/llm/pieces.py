@@ -8,7 +8,7 @@ path with the longest last piece stays, as in the public unigram encoder.
 A space is written as U+2581 and one more stands before the text. Where no piece holds U+2581 after another character
 (checked when the model is read), the best path of a text is those of its stretches from space to space, so each task
 encodes its distinct stretches only, all of them side by side, one character position at a time. Otherwise a text is one
-stretch. Stretches are told apart by a 64-bit hash; the query decodes every text again and compares.
+stretch. Equal stretches are found by a hash and compared in full; the query decodes every text again and compares.
 
 Defined cases: a null text has null ids, an empty one no ids; a U+2581 of the text itself is written in bytes, so that
 decoding returns it; unknown ids decode to nothing; repeated rows stay; further columns are carried along, but for one
@@ -232,6 +232,13 @@ class Encoder:
         head = first[s]
         h = run_hashes(data, s, e) ^ head.astype(np.uint64)
         _, example, which = np.unique(h, return_index=True, return_inverse=True)
+        # a stretch is compared with the one that stands for its hash; one that differs stands for itself
+        like = example[which]
+        odd = (e - s != (e - s)[like]) | (head != head[like])
+        shift = np.where(odd, 0, s[like] - s)
+        odd |= np.logical_or.reduceat(data != data[np.arange(len(data)) + np.repeat(shift, e - s)], s)
+        which[odd] = len(example) + np.arange(odd.sum())
+        example = np.r_[example, np.flatnonzero(odd)]
         s1, e1, head1 = s[example], e[example], head[example]
         size = e1 - s1
         flat = data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s1, size)]

@@ -26,6 +26,8 @@ NO_ID = (1 << 63) - 1
 SIDE = "block long, kind int, bucket long, a binary, b binary"
 SIDE_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 SHARED, OTHER, RESULT = 0, 1, 2
+#: A fingerprint with more occurrences (at most 255 of a block count) is marked as frequent; see suffix_dedup.
+FREQUENT = 2000
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -54,7 +56,10 @@ class Known:
         kind = table.column("kind").to_numpy() if table.num_rows else np.zeros(0)
         own = table.filter(pa.array(kind == SHARED))
         parts = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(a.as_py(), np.uint32).astype(np.uint64) for b, a in zip(own.column("bucket").to_pylist(), own.column("a"), strict=True)]
-        self.keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        often = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in own.column("b")]) if parts else np.zeros(0, np.uint8)
+        order = np.argsort(keys)
+        self.keys, self.often = keys[order], often[order] > 0
         self.rest = {k: table.filter(pa.array(kind == k)) for k in (OTHER, RESULT)}
         self.buckets = buckets
 
@@ -65,6 +70,10 @@ class Known:
         k = _keys(tokens, self.buckets)
         return self.keys[np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)] == k
 
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        """Which of the (shared) fingerprints occur more than FREQUENT times."""
+        return self.often[np.searchsorted(self.keys, _keys(tokens, self.buckets))] if len(tokens) else np.zeros(0, bool)
+
 
 def _posted(table: pa.Table, side: pa.Table, tokens_of: Callable, buckets: int) -> pa.Table:
     if not table.num_rows:
@@ -81,16 +90,16 @@ def _added_up(table: pa.Table) -> pa.Table:
     counts = np.frombuffer(b"".join(x.as_py() for x in table.column("b")), np.uint8)
     size = np.array([len(x.as_py()) // 4 for x in table.column("a")], np.int64)
     order, start, end = groups_of(values)
-    many = np.zeros(len(values), bool)
+    total = np.zeros(len(values), np.int64)
     if len(values):
-        twice = np.add.reduceat(counts[order].astype(np.int64), start) > 1
-        many[order] = np.repeat(twice, end - start)
+        total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), start), end - start)
+    many, often = total > 1, (total > FREQUENT).astype(np.uint8)
     out, at = [], 0
     for block, bucket, n in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), size, strict=True):
-        kept = values[at : at + n][many[at : at + n]]
+        kept = many[at : at + n]
+        if kept.any():
+            out.append((block, SHARED, bucket, values[at : at + n][kept].tobytes(), often[at : at + n][kept].tobytes()))
         at += n
-        if len(kept):
-            out.append((block, SHARED, bucket, kept.tobytes(), b""))
     return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 5, schema=SIDE_SCHEMA)
 
 

@@ -116,3 +116,22 @@ def test_long_data_is_worked_through_in_chunks():
     each = lambda r: {(int(s) + i, int(v)) for s, n, v in zip(*r[:3], strict=True) for i in range(n)}
     assert each(whole) == each(parts)
     assert {p for p, _ in each(whole)} == set(range(1151)) | set(range(1230, 4951))
+
+
+def test_exact_dedup_carries_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a  b", 1, 2, 3, 4), (2, "a b", 5, 6, 7, 8)], "doc_id long, text string, _head int, _norm int, _size int, _salt int")
+    out = exact_dedup.content_sort(docs)
+    assert sorted((r["doc_id"], r["_head"], r["_norm"], r["_size"], r["_salt"], r["kept"]) for r in out.collect()) == [(1, 1, 2, 3, 4, True), (2, 5, 6, 7, 8, False)]
+
+
+def test_suffixes_of_a_frequent_minimizer(spark, monkeypatch):
+    from factloom.llm import screen
+
+    rng = np.random.default_rng(8)
+    phrase = "a phrase of more than twenty-four bytes; "
+    rows = [(i, " ".join(f"{x}" for x in rng.integers(0, 9, rng.integers(4, 12))) + phrase * (1 + i % 3) + " ".join(f"{x}" for x in rng.integers(0, 9, 12))) for i in range(60)]
+    known = screen.Known.frequent
+    seen = []
+    monkeypatch.setattr(screen, "FREQUENT", 0)
+    monkeypatch.setattr(screen.Known, "frequent", lambda self, t: seen.append(known(self, t).sum()) or np.ones(len(t), bool))
+    check(spark, [*rows, (2**63 - 1, rows[3][1]), (None, rows[4][1])], 50, block_bytes=1500)

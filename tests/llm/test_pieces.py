@@ -94,3 +94,15 @@ def test_on_spark(spark):
     assert [r["decoded"] for r in got] == ["Hello world", "Hello world", None, ""]
     assert got[2]["ids"] is None and got[3]["ids"] == [] and set(out.columns) == {"doc_id", "text", "n", "ids", "decoded"}
     assert pieces.encode(spark.createDataFrame([], docs.schema), v).count() == 0
+
+
+def test_stretches_that_share_a_hash_are_coded_apart(vocabulary, monkeypatch):
+    """Doubled words, and a hash that says nothing at all."""
+    x, y = "ab", "ba"
+    while len(x) < 1024:
+        x, y = x + y, y + x
+    texts = [x, y, f"{x} {y}", "one two", "two one ", ""]
+    want = coded(vocabulary, texts)
+    assert want[1] == texts
+    monkeypatch.setattr(pieces, "run_hashes", lambda data, s, e: (s * 0).astype("uint64"))
+    assert coded(vocabulary, texts) == want

@@ -72,6 +72,13 @@ def test_flight_keeps_totals():
 # ---- 2
 
 
+def test_the_sample_is_the_largest_keys(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = importance.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    kept = [r["key"] for r in rows if r["kept"]]
+    assert 0 < len(kept) < len(rows) == docs.count() and min(kept) > max(r["key"] for r in rows if not r["kept"])
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -106,8 +113,9 @@ def test_weights_equal_brute_force(spark):
         at = slice(k * 997, k * 997 + 997)
         p = (raw[at] + 1) / (raw[at] + 1).sum()
         assert ratios[at] == pytest.approx(np.log((own[at] + 2 * 997 * p) / (own[at].sum() + 2 * 997) / p))
-    for r in importance.weigh(docs, ratios, 4).collect():
-        assert r["log_weight"] == pytest.approx(sum(ratios[b].mean() * min(len(b), 4) for b in buckets(r["text"]) if b))
+    for r in importance.weigh(docs, ratios, 4, ["doc_id", "text"]).collect():
+        assert r["log_weight"] == pytest.approx(sum(ratios[b].sum() for b in buckets(r["text"])))
+        assert r["score"] == pytest.approx(sum(ratios[b].mean() * 4 * math.tanh(len(b) / 4) for b in buckets(r["text"]) if b))
 
 
 def test_kth_largest_is_exact(spark):
@@ -136,7 +144,15 @@ def test_spans_of_a_black_box():
     assert "".join(found.formatted[s:e] for s, e in found.turns) == found.formatted
     assert chat.read_back(found.formatted) == messages
     many = [("user" if k % 2 else "assistant", f"t{k}") for k in range(200)]
-    assert chat.locate(chat.marked_turns, many, window=8) == chat.locate(chat.marked_turns, many, window=500)
+    assert chat.read_back(chat.locate(chat.marked_turns, many).formatted) == many
+
+
+def test_a_role_that_the_template_leaves_out():
+    quiet = lambda ms: "".join(f"<{r}>{t};" for r, t in ms if r != "system")
+    found = chat.locate(quiet, [("system", "be good"), ("user", "hi"), ("system", "again"), ("assistant", "yo")])
+    assert not found.rewrites_history
+    assert [found.formatted[s:e] for s, e in found.texts] == ["", "hi", "", "yo"]
+    assert found.turns == [(0, 0), (0, 9), (9, 9), (9, len(found.formatted))]
 
 
 def test_rewritten_history_is_found():
@@ -169,6 +185,8 @@ def test_statistics_equal_brute_force(spark):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
         assert inside is None or r["n_repeat_words"] == len(inside)
+    failed = {r["doc_id"]: r["f"] for r in quality_rules.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("f", quality_rules.base_failed()).collect()}
+    assert failed == {i: r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"] for i, r in got.items()}
 
 
 def test_rules_on_held_out_labels(spark):
