@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 ``documents``. The mix repeats a document as often as it takes it, so a doc_id may come back more than once.
+
+Defined cases, in every stage: null texts count as empty; a null doc_id, lang or source is a value like others; rows that are
+repeated in full go through the exact stage once; empty and very long texts are treated as whole texts; an empty table
+gives an empty result; further columns come through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import exact_dedup, importance, mixing, near_dedup, pieces
-from factloom.llm.common import settle
+from factloom.llm.common import clear_settled, settle, settled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), settled()
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        clear_settled(spark, before, docs)  # what the stage and the one before it wrote is used up
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
