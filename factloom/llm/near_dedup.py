@@ -88,7 +88,7 @@ def near_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, k: int
     clusters = near.candidates(lists, form, list_rows)
 
     # one row's text for each candidate set
-    chosen = rows.join(clusters.select("id"), "id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))).alias("c")).select("id", "c.*")
+    chosen = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("_doc"), F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("_digest")).join(clusters.select("id"), "id")
     texts = with_digest(docs)
     texts = texts.join(chosen, (texts["digest"] == chosen["_digest"]) & texts["doc_id"].eqNullSafe(chosen["_doc"])).select("id", "text")
     texts = settle(texts.dropDuplicates(["id"]))
