@@ -75,17 +75,17 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, caller_name, callee_name; some names don't exist."""
     n = F.broadcast(table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
-    return table(spark, sf_dir, "orders").where("o_orderkey % 800 = 7").join(n).selectExpr("o_orderkey as seq", "concat('_Zf', o_custkey) as caller_name", "concat('_Zf', (o_orderkey * 13) % (n + 5)) as callee_name")
+    return table(spark, sf_dir, "orders").join(n).selectExpr("o_orderkey as seq", "concat('_Zf', o_custkey) as caller_name", "concat('_Zf', (o_orderkey * 13) % (n + 5)) as callee_name")
 
 
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op, dst, src. Variables are 0 and more; allocation sites are negative and are storage cells themselves."""
-    n = F.broadcast(table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("np")))  # one row
-    rows = table(spark, sf_dir, "lineitem").where("(l_orderkey * 7 + l_partkey) % 80 = 0").join(n).selectExpr(
+    """op, dst, src, of every line item. Variables are 0 and more; allocation sites are negative and are storage cells
+    themselves. An order's line items have two variables; 40 variables and 5 sites make a unit that has no constraint with others."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
         "case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' else 'COPY' end as op",
-        "l_partkey % (np div 5) as dst", "l_orderkey * 13 + l_suppkey * 7 as h", "l_suppkey", "np",
+        "int(l_orderkey * 2 + l_linenumber % 2) as dst", "l_partkey * 13 + l_suppkey * 7 as h", "l_suppkey",
     )
-    src = "case when op = 'ADDR' then -1 - ((dst div 400) * 50 + l_suppkey % least(50, np div 40)) else (dst div 400) * 400 + h % least(400, np div 5) end"
+    src = "int(case when op = 'ADDR' then -1 - ((dst div 40) * 5 + l_suppkey % 5) else (dst div 40) * 40 + h % 40 end)"
     return rows.selectExpr("op", "dst", f"{src} as src").distinct()
 
 
@@ -111,7 +111,7 @@ def scoped_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr("url as path", "concat('f_', page_id) as heading", "int(page_id % 3) as ord", "substr(html, 1, 80) as text")
+    return table(spark, sf_dir, "pages").selectExpr("url as path", "concat('f_', page_id) as heading", "int(page_id % 3) as ord", "html as text")
 
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

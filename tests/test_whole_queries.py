@@ -3,8 +3,9 @@
 from factloom.plans import catalog
 
 
-def test_reach_targets_have_no_upper_bound(spark, tmp_path):
+def test_reach_asks_of_every_hundredth_function(spark, tmp_path):
+    n = 200_100
     ids = "int(id) as c_custkey, int(id % 25) as c_nationkey, 'BUILDING' as c_mktsegment"
-    spark.range(100_100).selectExpr(*ids.split(", ")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(n).selectExpr(*ids.split(", ")).write.parquet(str(tmp_path / "customer.parquet"))
     got = {(r["source"], r["target"]) for r in catalog._pairs(spark, str(tmp_path)).collect()}
-    assert got == {(s, t) for s in range(20) for t in range(3, 100_100, 31)} and max(t for _, t in got) > 100_000
+    assert got == {(s, (s * 31 + k * 97 + 3) % n) for s in range(0, n, 100) for k in range(8)} and max(t for _, t in got) > 100_000
