@@ -31,12 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 _settled: list[str] = []
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: it outlives any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    """``df`` written once as Parquet in the shared folder and read again: it outlives any executor. The shuffle files that
+    led to it are of no more use and go at once; otherwise they would stay until the driver collects garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _settled.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled() -> set[str]:
