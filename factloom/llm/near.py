@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binaries, cut, mix
+from factloom.llm.common import binaries, cut, mix, settle
 
 #: Odd multipliers of the signature's coordinates, made by rule.
 _MULTIPLIERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -354,7 +354,7 @@ def collide(lists: DataFrame, form: Form, small: int = 32, chunk: int = 1 << 19)
 
 def candidates(lists: DataFrame, form: Form, list_rows: int) -> DataFrame:
     """id, component, members: the clusters that candidate links of all lists make."""
-    found = cut(collide(lists, form))
+    found = settle(collide(lists, form))
     label = components(found.where("sig is null").select("a", "b"))
     large = found.where("sig is not null").select(F.col("a").alias("group"), F.col("b").alias("id"), "sig")
     if not large.isEmpty():
@@ -407,7 +407,7 @@ def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_
         return df.coalesce(max(8, -(-rows // edges_a_task)))
 
     # from here each edge is (a, b) with b < a
-    edges = cut(links.where("a is not null and b is not null and a <> b").mapInArrow(local, "a long, b long"))
+    edges = settle(links.where("a is not null and b is not null and a <> b").mapInArrow(local, "a long, b long"))
     n = edges.count()
     edges = cut(few(edges, n).mapInArrow(local, "a long, b long"))
     before = None
@@ -496,5 +496,5 @@ def verify(payload: DataFrame, of: str, clusters: DataFrame, sets_of: Callable,
     big = clusters.where(large).select(F.col("component").alias("group"), "id")
     if big.isEmpty():
         return links
-    links = cut(links)
+    links = settle(links)
     return links.unionByName(across(payload, of, big, components(links), compared, cluster_rows))

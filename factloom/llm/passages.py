@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import near, screen
 from factloom.llm.common import binaries, cut, packed, packed_others, settle, slices, unpacked
-from factloom.llm.near_dedup import set_ids
+from factloom.llm.near_dedup import set_ids, with_digest
 
 #: Texts are worked on in slices of about so many bytes, whose arrays stay in the processor's caches.
 SLICE = 1 << 18
@@ -68,11 +68,11 @@ def tuned_bands(similarity: float, recall: float, rows: int) -> int:
 
 #: What tells the first of several occurrences: null identifiers come last.
 PLACE = ["late", "doc_id", "digest", "start", "end", "place"]
-_FOUND = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("unit", pa.binary()), ("sig", pa.binary())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("sig", pa.binary())])
 
 
 def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, digest, place, start, end, id, unit (its bytes) and sig of every unit that shares a band with another one, written once."""
+    """doc_id, digest, place, start, end, id and sig of every unit that shares a band with another one, written once."""
     blocks, n = screen.blocks_of(docs, block_bytes)
     buckets = max(8, n // 4)
 
@@ -98,28 +98,25 @@ def candidates(docs: DataFrame, kind: Kind, block_bytes: int = 4 << 20) -> DataF
         if not keep.any():
             return None
         u, sig = u.take(keep), sig[keep]
-        size = u.end - u.start
-        own = data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(u.start, size)]
         first = offs[u.row]
         row = pa.array(u.row)
         return pa.table(
-            [texts.column("doc_id").take(row), texts.column("digest").take(row), pa.array(u.place), pa.array(u.start - first), pa.array(u.end - first), pa.array(set_ids(*u.distinct_sets())), binaries(own, np.r_[0, np.cumsum(size)]), binaries(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1])],
+            [texts.column("doc_id").take(row), texts.column("digest").take(row), pa.array(u.place), pa.array(u.start - first), pa.array(u.end - first), pa.array(set_ids(*u.distinct_sets())), binaries(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1])],
             schema=_FOUND,
         )
 
     empty = blocks.sparkSession.createDataFrame([], screen.SIDE)
     shared = screen.shared_fingerprints(blocks, empty, tokens_of, buckets)
-    return settle(screen.met(blocks, shared, found, "doc_id long, digest long, place long, start long, end long, id long, unit binary, sig binary"))
+    return settle(screen.met(blocks, shared, found, "doc_id long, digest long, place long, start long, end long, id long, sig binary"))
 
 
 def place() -> "F.Column":
     return F.struct(F.col("doc_id").isNull().alias("late"), *PLACE[1:])
 
 
-def distinct_units(found: DataFrame, *carried: str) -> DataFrame:
-    """id, n (occurrences), first (the place of the first one) and the carried columns; written once."""
-    own = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), *[F.first(c).alias(c) for c in carried])
-    return settle(own)
+def distinct_units(found: DataFrame) -> DataFrame:
+    """id, n (occurrences), first (the place of the first one) and sig; written once."""
+    return settle(found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), F.first("sig").alias("sig")))
 
 
 def close_units(distinct: DataFrame, kind: Kind, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
@@ -130,10 +127,18 @@ def close_units(distinct: DataFrame, kind: Kind, item_rows: int = 8192, list_row
     return near.candidates(lists, kind.form, list_rows)
 
 
-def verified(units: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
-    """id, component of units (id, unit) that links with full sets join; the units' texts travel, not their sets."""
-    some = settle(units.select("id", "unit").join(close.select("id"), "id", "left_semi"))
-    return near.components(near.verify(some, "unit", close, kind.sets, num, den))
+def unit_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, unit (its bytes) of the wanted units (digest, start, end, id): of each, from the text that has this digest."""
+    rows = with_digest(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("digest", F.encode("text", "UTF-8").alias("raw"))
+    own = wanted.groupBy("digest").agg(F.collect_list(F.struct("id", "start", "end")).alias("w"))
+    each = rows.join(own, "digest").select("raw", F.explode("w").alias("w"))
+    return each.select("w.id", F.substring("raw", F.col("w.start").cast("int") + 1, (F.col("w.end") - F.col("w.start")).cast("int")).alias("unit")).dropDuplicates(["id"])
+
+
+def verified(docs: DataFrame, distinct: DataFrame, close: DataFrame, kind: Kind, num: int, den: int) -> DataFrame:
+    """id, component of the units that links with full sets join; the first occurrence of each candidate gives its text."""
+    some = distinct.select("id", "first").join(close.select("id"), "id").select("id", "first.digest", "first.start", "first.end")
+    return near.components(near.verify(settle(unit_texts(docs, some)), "unit", close, kind.sets, num, den))
 
 
 def occurrences(found: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
