@@ -55,16 +55,31 @@ def settled() -> set[str]:
     return set(_settled)
 
 
-def clear_settled(spark: SparkSession, spared: set[str], read: DataFrame | None = None) -> None:
-    """Removes what was settled but for the folders ``spared`` and those that ``read`` reads: for callers whose earlier frames
-    are used up."""
-    own = {f.rsplit("/", 2)[-2] for f in read.inputFiles()} if read is not None else set()
-    for path in [p for p in _settled if p not in spared and p.rsplit("/", 1)[-1] not in own]:
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         _settled.remove(path)
 
 
+def _read_by(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
+def drop(*used_up: DataFrame) -> None:
+    """Removes the folders of settled frames that nothing reads any more."""
+    for df in used_up:
+        own = _read_by(df)
+        _remove(df.sparkSession, [p for p in _settled if p.rsplit("/", 1)[-1] in own])
+
+
+def clear_settled(spark: SparkSession, spared: set[str], read: DataFrame | None = None) -> None:
+    """Removes what was settled but for the folders ``spared`` and those that ``read`` reads: for callers whose earlier frames
+    are used up."""
+    own = _read_by(read) if read is not None else set()
+    _remove(spark, [p for p in _settled if p not in spared and p.rsplit("/", 1)[-1] not in own])
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on Spark hands its texts to Python in batches of at most 1,000 rows and about 4 MB, so that buffers on
     either side of the pipe stay small whatever the number of rows of a partition."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binaries, cut, mix, settle
+from factloom.llm.common import binaries, cut, drop, mix, settle
 
 #: Odd multipliers of the signature's coordinates, made by rule.
 _MULTIPLIERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -408,8 +408,9 @@ def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_
 
     # from here each edge is (a, b) with b < a
     edges = settle(links.where("a is not null and b is not null and a <> b").mapInArrow(local, "a long, b long"))
-    n = edges.count()
-    edges = cut(few(edges, n).mapInArrow(local, "a long, b long"))
+    n, first = edges.count(), edges
+    edges = settle(few(edges, n).mapInArrow(local, "a long, b long"))
+    drop(first)
     before = None
     for _ in range(most_rounds):
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -417,11 +418,13 @@ def components(links: DataFrame, most_rounds: int = 40, edges_a_task: int = 200_
             break
         before, n = seen, seen[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * n))
-        large = cut(few(beside(both.where("b > a"), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n))
+        least = settle(few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * n))
+        large = settle(few(beside(both.where("b > a"), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n))
+        drop(edges, least)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(few(small.where("a <> b").distinct(), n))
+        edges = settle(few(small.where("a <> b").distinct(), n))
+        drop(large)
     else:
         raise RuntimeError("union-find has not converged")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
