@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near, screen
-from factloom.llm.common import binaries, cut, packed, packed_others, settle, slices, unpacked
+from factloom.llm.common import binaries, cut, drop, packed, packed_others, settle, slices, unpacked
 from factloom.llm.near_dedup import set_ids, with_digest
 
 #: Texts are worked on in slices of about so many bytes, whose arrays stay in the processor's caches.
@@ -119,6 +119,13 @@ def distinct_units(found: DataFrame) -> DataFrame:
     return settle(found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), F.first("sig").alias("sig")))
 
 
+def unsigned(units: DataFrame) -> DataFrame:
+    """The settled ``units`` without their signatures, once these have served; the wide form is removed."""
+    narrow = settle(units.drop("sig"))
+    drop(units)
+    return narrow
+
+
 def close_units(distinct: DataFrame, kind: Kind, item_rows: int = 8192, list_rows: int = 1024) -> DataFrame:
     """id, component, members: the candidates among distinct units (id, sig)."""
     parts = max(8, -(-distinct.count() // item_rows))
