@@ -374,14 +374,14 @@ def candidates(lists: DataFrame, form: Form, list_rows: int) -> DataFrame:
 def beside(rows: DataFrame, totals: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Inner join with ``totals`` (cut; one row a key, ``n``: how many of the ``n_rows`` rows have it).
 
-    Keys with more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast, so that none of them
-    is one task's.
+    Keys with more than a thousandth of all rows (at every size, of which there are at most a thousand) are broadcast, so that none
+    of them is one task's.
     """
-    hot = totals.where(F.col("n") > max(1000, n_rows // 1000))
+    hot = totals.where(F.col("n") > n_rows // 1000)
     if hot.isEmpty():
         return rows.join(totals, key)
     own = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(totals.where(F.col("n") <= max(1000, n_rows // 1000)), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(totals.where(F.col("n") <= n_rows // 1000), key)
     return own.unionByName(others)
 
 
