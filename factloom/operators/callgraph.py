@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.lineage import cut
+from factloom.operators import lineage
 
 EDGE = ["type", "caller", "callsite", "callee"]
 
@@ -68,22 +68,24 @@ def reach_set(edges: DataFrame, sources: DataFrame, hops_a_round: int = 4, most_
     A round takes several hops before its result is cut, so that long chains need few jobs. A source reaches itself only over
     a cycle.
     """
-    step = cut(edges.where("callee is not null").select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
-    frontier = cut(sources.select(F.col("vid").alias("source"), F.col("vid").alias("node"), F.lit(0).alias("hops")))
-    seen = None
-    for _ in range(most_rounds):
-        waves, at = [], frontier
-        for _ in range(hops_a_round):
-            at = at.join(step, "node").groupBy("source", F.col("next").alias("node")).agg((F.min("hops") + 1).alias("hops"))
-            waves.append(at)
-        new = reduce(DataFrame.unionByName, waves).groupBy("source", "node").agg(F.min("hops").alias("hops"))
-        new = cut(new if seen is None else new.join(seen, ["source", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        # only what the last hop found leads on: what came before was already followed
-        seen = new if seen is None else seen.unionByName(new)
-        frontier = new.where(F.col("hops") == new.agg(F.max("hops")).first()[0])
-    return seen if seen is not None else frontier.where("false")
+    with lineage.rounds(edges.sparkSession) as cut:
+        step = cut(edges.where("callee is not null").select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
+        frontier = sources.select(F.col("vid").alias("source"), F.col("vid").alias("node"), F.lit(0).alias("hops"))
+        seen = None
+        for _ in range(most_rounds):
+            waves, at = [], frontier
+            for _ in range(hops_a_round):
+                at = at.join(step, "node").groupBy("source", F.col("next").alias("node")).agg((F.min("hops") + 1).alias("hops"))
+                waves.append(at)
+            new = reduce(DataFrame.unionByName, waves).groupBy("source", "node").agg(F.min("hops").alias("hops"))
+            new = cut(new if seen is None else new.join(seen, ["source", "node"], "left_anti"))
+            last = new.agg(F.max("hops")).first()[0]
+            seen = new if seen is None else seen.unionByName(new)
+            if last is None:
+                return lineage.cut(seen)
+            # only what the last hop found leads on: what came before was already followed
+            frontier = new.where(F.col("hops") == last)
+    raise RuntimeError("reachable sets have not converged")
 
 
 def reachable(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool = False) -> DataFrame:
@@ -108,13 +110,13 @@ def path(edges: DataFrame, source: int, target: int, most_hops: int = 10_000) ->
     """
     spark = edges.sparkSession
     known = first_of_pairs(edges.where("callee is not null"))
-    step = cut(known)
+    step = lineage.cut(known)
     seen = spark.createDataFrame([(source, 0)], "node int, hops int")
     frontier, waves = seen, []
     for hop in range(1, most_hops + 1):
         at = frontier.join(step, F.col("node") == F.col("caller")).groupBy("callee").agg(F.min("caller").alias("via")).select(F.col("callee").alias("node"), "via", F.lit(hop).alias("hops"))
         keep = seen if hop > 1 else seen.where("false")  # the source itself may be found over a cycle
-        new = cut(at.join(keep.select("node"), "node", "left_anti"))
+        new = lineage.cut(at.join(keep.select("node"), "node", "left_anti"))
         if new.isEmpty():
             return step.withColumn("hop", F.lit(0)).select("hop", *EDGE).where("false")
         waves.append(new)
@@ -141,29 +143,30 @@ def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5, silent: DataFr
     isn't shown, what it calls hangs under the shown function before it. A null callee is a call to anywhere.
     """
     quiet = (silent if silent is not None else roots.where("false")).select(F.col("vid").alias("callee"), F.lit(True).alias("quiet"))
-    step = cut(edges.select("caller", "callee").distinct().join(quiet, "callee", "left").select("caller", "callee", F.coalesce("quiet", F.lit(False)).alias("quiet")))
-    # (shown, node): node is reached from the shown function over silenced ones only
-    at = cut(roots.select(F.col("vid").alias("root"), F.col("vid").alias("shown"), F.col("vid").alias("node"), F.lit(0).alias("depth")))
-    seen, out = at, []
-    level = 0
-    while level < depth:
-        # silenced steps to their end, within this level
-        hidden = at
-        while True:
-            more = hidden.join(step.where("quiet"), F.col("node") == F.col("caller")).select("root", "shown", F.col("callee").alias("node"), "depth").distinct()
-            more = cut(more.join(at, ["root", "shown", "node"], "left_anti"))
-            if more.isEmpty():
+    with lineage.rounds(edges.sparkSession) as cut:
+        step = cut(edges.select("caller", "callee").distinct().join(quiet, "callee", "left").select("caller", "callee", F.coalesce("quiet", F.lit(False)).alias("quiet")))
+        # (shown, node): node is reached from the shown function over silenced ones only
+        at = cut(roots.select(F.col("vid").alias("root"), F.col("vid").alias("shown"), F.col("vid").alias("node"), F.lit(0).alias("depth")))
+        seen, out = at, []
+        level = 0
+        while level < depth:
+            # silenced steps to their end, within this level
+            hidden = at
+            while True:
+                more = hidden.join(step.where("quiet"), F.col("node") == F.col("caller")).select("root", "shown", F.col("callee").alias("node"), "depth").distinct()
+                more = cut(more.join(at, ["root", "shown", "node"], "left_anti"))
+                if more.isEmpty():
+                    break
+                at, hidden = at.unionByName(more), more
+            shown = cut(at.join(step.where("not quiet"), F.col("node") == F.col("caller")).select("root", F.col("shown").alias("caller"), "callee", (F.col("depth") + 1).alias("depth")).distinct())
+            out.append(shown)
+            level += 1
+            new = shown.where("callee is not null").select("root", F.col("callee").alias("shown"), F.col("callee").alias("node"), "depth").distinct()
+            new = cut(new.join(seen.select("root", "shown"), ["root", "shown"], "left_anti"))
+            if new.isEmpty():
                 break
-            at, hidden = at.unionByName(more), more
-        shown = cut(at.join(step.where("not quiet"), F.col("node") == F.col("caller")).select("root", F.col("shown").alias("caller"), "callee", (F.col("depth") + 1).alias("depth")).distinct())
-        out.append(shown)
-        level += 1
-        new = shown.where("callee is not null").select("root", F.col("callee").alias("shown"), F.col("callee").alias("node"), "depth").distinct()
-        new = cut(new.join(seen.select("root", "shown"), ["root", "shown"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen, at = seen.unionByName(new), new
-    return reduce(DataFrame.unionByName, out) if out else edges.selectExpr("caller as root", "caller", "callee", "0 as depth").where("false")
+            seen, at = seen.unionByName(new), new
+        return lineage.cut(reduce(DataFrame.unionByName, out)) if out else edges.selectExpr("caller as root", "caller", "callee", "0 as depth").where("false")
 
 
 def indirect_targets(edges: DataFrame, names: DataFrame) -> DataFrame:

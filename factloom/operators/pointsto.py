@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.lineage import cut
+from factloom.operators import lineage
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -29,26 +29,25 @@ def inclusion(constraints: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     A round first turns new points-to facts into new copy edges by LOAD and STORE, then sends new facts over all copy edges
     and old facts over the new edges; both results are one cut frame.
     """
-    load, store = cut(_of(constraints, "LOAD").distinct()), cut(_of(constraints, "STORE").distinct())
-    delta = cut(_of(constraints, "ADDR").select(F.col("dst").alias("v"), F.col("src").alias("o")).distinct())
-    pts, copies = [delta], [cut(_of(constraints, "COPY").distinct())]
-    for _ in range(most_rounds):
-        by_load = delta.join(load, F.col("v") == F.col("src")).select("dst", F.col("o").alias("src"))
-        by_store = delta.join(store, F.col("v") == F.col("dst")).select(F.col("o").alias("dst"), "src")
-        known = _all(copies)
-        fresh = by_load.unionByName(by_store).where("dst <> src").distinct().join(known, ["dst", "src"], "left_anti")
-        along = delta.join(known, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o")
-        along = along.unionByName(_all(pts).join(fresh, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o"))
-        new = along.distinct().join(_all(pts), ["v", "o"], "left_anti")
-        both = cut(new.select(F.lit(True).alias("fact"), F.col("v").alias("x"), F.col("o").alias("y")).unionByName(fresh.select(F.lit(False).alias("fact"), F.col("dst").alias("x"), F.col("src").alias("y"))))
-        if both.isEmpty():
-            break
-        delta = both.where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
-        pts.append(delta)
-        copies.append(both.where("not fact").select(F.col("x").alias("dst"), F.col("y").alias("src")))
-        if len(pts) % 8 == 0:  # many small frames are one again
-            pts, copies = [cut(_all(pts))], [cut(_all(copies))]
-    return _all(pts).select(F.col("v").alias("ptr"), F.col("o").alias("site"))
+    spark = constraints.sparkSession
+    edge = lambda df, fact, x, y: df.select(F.lit(fact).alias("fact"), F.col(x).alias("x"), F.col(y).alias("y"))
+    with lineage.rounds(spark) as cut, lineage.Growing(spark, "fact") as table:
+        load, store = cut(_of(constraints, "LOAD").distinct()), cut(_of(constraints, "STORE").distinct())
+        last = table.add(edge(_of(constraints, "ADDR"), True, "dst", "src").unionByName(edge(_of(constraints, "COPY"), False, "dst", "src")).distinct())
+        for _ in range(most_rounds):
+            delta = last.where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
+            pts = table.all().where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
+            copies = table.all().where("not fact").select(F.col("x").alias("dst"), F.col("y").alias("src"))
+            by_load = delta.join(load, F.col("v") == F.col("src")).select("dst", F.col("o").alias("src"))
+            by_store = delta.join(store, F.col("v") == F.col("dst")).select(F.col("o").alias("dst"), "src")
+            fresh = by_load.unionByName(by_store).where("dst <> src").distinct().join(copies, ["dst", "src"], "left_anti")
+            along = delta.join(copies, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o")
+            along = along.unionByName(pts.join(fresh, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o"))
+            new = along.distinct().join(pts, ["v", "o"], "left_anti")
+            last = table.add(edge(new, True, "v", "o").unionByName(edge(fresh, False, "dst", "src")))
+            if last.isEmpty():
+                return lineage.cut(pts.select(F.col("v").alias("ptr"), F.col("o").alias("site")))
+    raise RuntimeError("points-to sets have not converged")
 
 
 def copy_closure(constraints: DataFrame) -> DataFrame:
@@ -64,28 +63,31 @@ def unification(constraints: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """
     pairs = {"ADDR": (1, 0), "COPY": (1, 1), "LOAD": (1, 2), "STORE": (2, 1)}
     links = _all([_of(constraints, op).select((F.col("dst").cast("long") * 3 + a).alias("x"), (F.col("src").cast("long") * 3 + b).alias("y")) for op, (a, b) in pairs.items()]).distinct()
-    links = cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     nodes = constraints.select(F.col("dst").alias("n")).unionByName(constraints.select(F.col("src").alias("n"))).distinct()
     term = nodes.select(F.explode(F.array(*[F.col("n").cast("long") * 3 + k for k in range(3)])).alias("t"))
-    labels = cut(term.select("t", F.col("t").alias("l")))
-    before = None
-    for _ in range(most_rounds):
-        # the smallest label among neighbours
-        near = links.join(labels, F.col("y") == F.col("t")).groupBy("x").agg(F.min("l").alias("m")).select(F.col("x").alias("t"), "m")
-        # pointees of one class: the smallest label among them, for all of them
-        up = labels.where("pmod(t, 3) < 2").select(F.col("l").alias("c"), (F.col("t") + 1).alias("t"))
-        up = up.join(labels, "t")
-        least = up.groupBy("c").agg(F.min("l").alias("m"))
-        congruent = up.join(least, "c").groupBy("t").agg(F.min("m").alias("m"))
-        # the label's own label
-        jump = labels.join(labels.select(F.col("t").alias("l"), F.col("l").alias("m")), "l").select("t", "m")
-        best = near.unionByName(congruent).unionByName(jump).groupBy("t").agg(F.min("m").alias("m"))
-        labels = cut(labels.join(best, "t", "left").select("t", F.least("l", "m").alias("l")))
-        now = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels.select(F.floor(F.col("t") / 3).cast("int").alias("node"), F.pmod("t", F.lit(3)).cast("int").alias("level"), F.col("l").alias("label"))
+    with lineage.rounds(constraints.sparkSession) as cut:
+        links = cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+        labels = cut(term.select("t", F.col("t").alias("l")))
+        before = None
+        for _ in range(most_rounds):
+            # the smallest label among neighbours
+            near = links.join(labels, F.col("y") == F.col("t")).groupBy("x").agg(F.min("l").alias("m")).select(F.col("x").alias("t"), "m")
+            # pointees of one class: the smallest label among them, for all of them
+            up = labels.where("pmod(t, 3) < 2").select(F.col("l").alias("c"), (F.col("t") + 1).alias("t"))
+            up = up.join(labels, "t")
+            least = up.groupBy("c").agg(F.min("l").alias("m"))
+            congruent = up.join(least, "c").groupBy("t").agg(F.min("m").alias("m"))
+            # the label's own label
+            jump = labels.join(labels.select(F.col("t").alias("l"), F.col("l").alias("m")), "l").select("t", "m")
+            best = near.unionByName(congruent).unionByName(jump).groupBy("t").agg(F.min("m").alias("m"))
+            labels = cut(labels.join(best, "t", "left").select("t", F.least("l", "m").alias("l")))
+            now = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("classes have not converged")
+        return lineage.cut(labels.select(F.floor(F.col("t") / 3).cast("int").alias("node"), F.pmod("t", F.lit(3)).cast("int").alias("level"), F.col("l").alias("label")))
 
 
 def unification_pts(classes: DataFrame) -> DataFrame:
