@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import memory, names
 from factloom.operators import callgraph, commands, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, shared_dir
-from factloom.sources import files
+from factloom.sources import files, ir
 from factloom.sources import fixtures as X
 from factloom.streaming import replay
 
@@ -472,3 +472,33 @@ def q_notes_delete(spark, d):
 @query("with l as (select source || '/' || doc_id as path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as x from documents) select path, i as line_no, x[i] as line from l, unnest(range(1, len(x) + 1)) t(i)")
 def q_source_lines(spark, d):
     return files.split_lines(X.source_texts(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+# ---- textual IR ----------------------------------------------------------------------------------------------------
+
+_IR = """cu as (select 'm' || c_nationkey || '.ll' as path, c_custkey::bigint as k from customer),
+it as (select path, 0 as s, k, 2 as sub, 'GlobalVar' as kind, 'g_' || k as name, null as func, null as opcode, k % 8 <> 0 as is_ptr, false as is_decl from cu where k % 4 = 0
+  union all select path, 0, min(k), i, 'Struct', case i when 0 then 'struct.Pair' else 'struct.Inner' end, null, null, false, false from cu, range(2) r(i) where k % 8 = 0 group by path, i
+  union all select path, 1, k, 0, 'Func', 'f_' || k, null, null, false, k % 17 = 3 from cu
+  union all select path, 1, k, i, case when i < 3 then 'Arg' when i = 3 then 'Block' else 'Inst' end, case when k % 17 = 3 then null when i = 1 then '%a' when i = 2 then '%b' when i = 4 then '%p' end, 'f_' || k,
+    case i when 4 then 'load' when 5 then 'ret' end, i in (1, 4), false from cu, range(1, 6) r(i) where k % 17 <> 3 or i = 1),
+vals as (select path, (row_number() over (partition by path order by s, k, sub) - 1)::int as vid, kind, name, func, opcode, is_ptr, is_decl from it)"""
+
+
+def _module_values(spark, d):
+    lines = files.in_functions(X.module_lines(spark, d))
+    return lines, ir.values(lines)
+
+
+@query(f"with {_IR} select * from vals")
+def q_ir_values(spark, d):
+    """Identifiers of the values of every module, read from its text."""
+    return _module_values(spark, d)[1]
+
+
+@query(f"""with {_IR} select path, '' as moduleID, path as sourceFileName, '' as targetTriple, '' as dataLayout, '' as llvmIdent, '' as clangVersion, '' as optlevel, '' as commandline, '' as llvmModuleDeps,
+  count(*) filter (where kind = 'Func') as funcCnt, count(*) filter (where kind = 'GlobalVar') as globalCnt, count(*) filter (where kind = 'Struct') as idStructTypeCnt, count(*) filter (where kind in ('Arg', 'Inst')) as localCnt,
+  count(*) filter (where kind = 'GlobalVar' and is_ptr) as globalPtrCnt, count(*) filter (where kind = 'Arg' and is_ptr) as argPtrCnt, count(*) filter (where kind = 'Inst' and is_ptr) as instPtrCnt,
+  0 as hasMain, 0 as hasGlobalCtor, 0 as hasGlobalDtor from vals group by path""")
+def q_ir_stat(spark, d):
+    return ir.statistics(*_module_values(spark, d))

@@ -116,3 +116,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("concat(source, '/', doc_id) as path", "text")
+
+
+def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, line: a module of textual IR for each nation. A customer is a function, every fourth a global variable too."""
+    nation = "concat('m', c_nationkey, '.ll') as path"
+    rows = table(spark, sf_dir, "customer").selectExpr(nation, "bigint(c_custkey) as k")
+    types = rows.select("path").distinct().selectExpr("path", "explode(map(1L, '%struct.Pair = type { %struct.Inner, ptr }', 2L, '%struct.Inner = type { i32 }', 3L, concat('source_filename = \"', path, '\"'))) as (line_no, line)")
+    variables = rows.where("k % 4 = 0").selectExpr("path", "100 + k as line_no", "concat('@g_', k, if(k % 8 = 0, ' = global %struct.Pair zeroinitializer', ' = global ptr null')) as line")
+    body = "array(concat('define ptr @f_', k, '(ptr noundef %a, i32 %b) {'), '  %p = load ptr, ptr %a, align 8', '  ret ptr %p', '}')"
+    functions_ = rows.selectExpr("path", "k", f"posexplode(if(k % 17 = 3, array(concat('declare ptr @f_', k, '(ptr)')), {body})) as (pos, line)")
+    return types.unionByName(variables).unionByName(functions_.selectExpr("path", "1000000000000 + k * 10 + pos as line_no", "line"))
