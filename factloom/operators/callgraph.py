@@ -40,6 +40,22 @@ def patch_edges(patches: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFr
     return good, joined.where("caller is null or callee is null").select("seq", "caller_name", "callee_name")
 
 
+def with_patches(edges: DataFrame, patched: DataFrame, functions: DataFrame) -> DataFrame:
+    """Edges and place among their caller's: those of call sites in order, then patched ones (seq, ..) in order of seq.
+
+    A function without a body has no edges, patched ones included.
+    """
+    bodies = functions.where("not is_decl and not is_intrinsic").select(F.col("vid").alias("caller"))
+    both = edges.select(*EDGE, F.lit(None).cast("long").alias("seq")).unionByName(patched.join(bodies, "caller", "left_semi").select(*EDGE, F.col("seq").cast("long").alias("seq")))
+    order = Window.partitionBy("caller").orderBy(F.col("callsite").asc_nulls_last(), F.col("seq").asc_nulls_first(), F.col("callee").asc_nulls_last())
+    return both.select(*EDGE, F.row_number().over(order).alias("place"))
+
+
+def without_silenced(edges: DataFrame, quiet: DataFrame) -> DataFrame:
+    """Edges whose callee isn't one of the functions ``quiet`` (vid); unknown edges stay."""
+    return edges.join(quiet.select(F.col("vid").alias("callee")), "callee", "left_anti").select(*EDGE)
+
+
 def callout(edges: DataFrame, callers: DataFrame) -> DataFrame:
     """Edges out of the functions (caller)."""
     return edges.join(callers, "caller", "left_semi").select(*EDGE)

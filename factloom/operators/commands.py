@@ -53,8 +53,11 @@ def answer(lines: DataFrame, edges: DataFrame, pts: DataFrame, status: DataFrame
     out.append(two.join(pointsto.pt(two.select("ptr", "site").distinct(), pts, status), ["ptr", "site"]).select("qid", F.col("result").alias("line")))
     two = of("alias").select("qid", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     out.append(two.join(pointsto.alias(two.select("a", "b").distinct(), pts, status), ["a", "b"]).select("qid", F.col("result").alias("line")))
-    # prefixes: an equi-join on the first character, which a name must share
-    some = of("list").select("qid", "prefix").withColumn("c", F.substring("prefix", 1, 1))
-    hits = index.withColumn("c", F.substring("name", 1, 1)).join(some, "c").where(F.col("name").startswith(F.col("prefix")))
+    # prefixes: an equi-join on a name's beginnings, of the lengths that are asked for only, so that names which begin alike
+    # don't meet in one key
+    some = of("list").select("qid", "prefix")
+    lengths = some.agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("lengths"))  # one row, an entry a length
+    starts = index.join(F.broadcast(lengths)).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("name"))))
+    hits = starts.withColumn("prefix", F.expr("substring(name, 1, n)")).select("name", "vid", "prefix").join(some, "prefix")
     out.append(hits.groupBy("qid", "vid").agg(F.min("name").alias("name")).select("qid", F.concat_ws(" ", F.col("vid").cast("string"), "name").alias("line")))
     return reduce(DataFrame.unionByName, out)

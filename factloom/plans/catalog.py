@@ -226,6 +226,19 @@ def q_patch_problems(spark, d):
     return callgraph.patch_edges(X.patches(spark, d), _index(spark, d))[1]
 
 
+@query(f"""with {EDGES}, {FUNCS}, {_PATCH}, u as (select type, caller, callsite, callee, null::bigint as seq from edges
+  union all select 'indirect', a::int, null, b::int, seq from pt join fn on fn.vid = a where b < (select count(*) from customer) and not is_decl and not is_intrinsic)
+select type, caller, callsite, callee, (row_number() over (partition by caller order by callsite nulls last, seq nulls first, callee nulls last))::int as place from u""")
+def q_callout_patched(spark, d):
+    patched = callgraph.patch_edges(X.patches(spark, d), _index(spark, d))[0]
+    return callgraph.with_patches(X.call_edges(spark, d), patched, X.functions(spark, d))
+
+
+@query(f"with {EDGES}, {FUNCS} select * from edges where callee is null or callee not in (select vid from fn where ns in ('std', 'llvm', '__gnu_cxx'))")
+def q_callout_silenced(spark, d):
+    return callgraph.without_silenced(X.call_edges(spark, d), X.functions(spark, d).where(names.silenced(F.col("demangled"))).select("vid"))
+
+
 @query(f"with {EDGES} select * from edges")
 def q_callout(spark, d):
     return callgraph.callout(X.call_edges(spark, d), X.functions(spark, d).select(F.col("vid").alias("caller")))

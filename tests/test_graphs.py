@@ -39,6 +39,17 @@ def test_neighbours(spark, edges):
     assert lines == ["direct FROM 1 TO 2 BY 10", "indirect FROM 1 TO 3 BY 11", "direct FROM 1 TO 2 BY 12", "indirect FROM 1 TO 6 BY -"]
 
 
+def test_patched_edges_come_last_and_need_a_body(spark, edges):
+    functions = spark.createDataFrame([(1, False, False), (2, True, False), (3, False, False)], "vid int, is_decl boolean, is_intrinsic boolean")
+    patched = spark.createDataFrame([(9, "indirect", 1, None, 2), (4, "indirect", 1, None, 5), (1, "indirect", 2, None, 1)], "seq long, type string, caller int, callsite int, callee int")
+    got = callgraph.with_patches(edges.where("caller in (1, 2) and callsite is not null"), patched, functions)
+    assert [tuple(r) for r in got.orderBy("caller", "place").select("caller", "callsite", "callee", "place").collect()] == [
+        (1, 10, 2, 1), (1, 11, 3, 2), (1, 12, 2, 3), (1, None, 5, 4), (1, None, 2, 5), (2, 20, 4, 1),
+    ]
+    quiet = spark.createDataFrame([(2,), (6,)], "vid int")
+    assert rows_of(callgraph.without_silenced(edges.where("caller in (1, 3)"), quiet)) == [("indirect", 1, 11, 3), ("unknown", 3, 30, None)]
+
+
 def test_reachability(spark, edges):
     pairs = spark.createDataFrame([(1, 4), (4, 3), (1, 1), (2, 5), (6, 1), (5, 5), (3, 99), (6, 6)], "source int, target int")
     known = {(r[0], r[1]): r[2] for r in callgraph.reachable(edges, pairs, ignore_unknown=True).collect()}
