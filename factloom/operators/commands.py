@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions.names import bare, strict_int
 from factloom.functions.render import edge_text
 from factloom.operators import callgraph, pointsto
+from factloom.operators.lineage import cut
 
 #: Commands with their least and greatest number of arguments, and short forms.
 COMMANDS = {"callout": (1, 2), "callin": (1, 1), "pts": (1, 1), "pt": (2, 2), "alias": (2, 2), "list": (1, 1)}
@@ -37,7 +38,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def answer(lines: DataFrame, edges: DataFrame, pts: DataFrame, status: DataFrame, index: DataFrame) -> DataFrame:
     """qid, line: the lines of each query's answer; a query without any has no row, one with a problem has it as its line."""
-    asked = parse(lines)
+    asked = cut(parse(lines))  # once for all kinds; put into each kind's filter, its code would outgrow what Java compiles
     good = asked.where("problem is null")
     of = lambda c: good.where(F.col("command") == c)
     out = [asked.where("problem is not null").select("qid", F.col("problem").alias("line"))]
