@@ -168,9 +168,10 @@ def best_of(q: np.ndarray, own: np.ndarray, x: np.ndarray, first: np.ndarray, id
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def merged(hits: DataFrame, k: int, *key: str) -> DataFrame:
-    """The k best of all lists of hits of a key."""
-    return hits.groupBy(*key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k).alias("hits"))
+def merged(hits: DataFrame, k: int, *key: str, copies: int = 1) -> DataFrame:
+    """The k best of all lists of hits of a key, which hold a hit ``copies`` times at most: the first k * copies hold the k best."""
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k * copies)
+    return hits.groupBy(*key).agg(F.slice(F.array_distinct(best) if copies > 1 else best, 1, k).alias("hits"))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +299,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 8, target
 
     dealt = index.select("first", "ids", "v", "keys").mapInArrow(deal_rows, DEALT).unionByName(queries.mapInArrow(deal_queries, DEALT))
     hits = dealt.groupBy("cell", "row_part", "query_part").applyInArrow(match, f"query_id long, hits {HITS}")
-    best = merged(hits, k, "query_id").select("query_id", F.posexplode("hits"))
+    best = merged(hits, k, "query_id", copies=len(used)).select("query_id", F.posexplode("hits"))
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("col.s")).alias("score"))
 
 
