@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,12 +11,9 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share too."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
@@ -79,21 +75,28 @@ class Growing:
         return self.spark.read.schema(self.schema).parquet(self.folder)
 
 
-_built: dict[tuple, DataFrame] = {}
+_built: dict[tuple, tuple[DataFrame, str]] = {}
 
 
-def build_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The frame of ``make``, written once for each application and key; ``forget`` drops it."""
-    full = (spark.sparkContext.applicationId, *key)
+def stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what is in a folder, which change when an input is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def build_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], inputs: str) -> DataFrame:
+    """The frame of ``make``, written once for each application, key and state of the folder ``inputs``; ``forget`` drops it."""
+    full = (spark.sparkContext.applicationId, *key, stamp(spark, inputs))
     if full not in _built:
         path = f"{shared_dir(spark).rstrip('/')}/built-{uuid.uuid4().hex}"
         df = make()
         df.write.parquet(path)
-        _built[full] = spark.read.schema(df.schema).parquet(path)
-    return _built[full]
+        _built[full] = spark.read.schema(df.schema).parquet(path), path
+    return _built[full][0]
 
 
-def forget(*key) -> None:
-    """Drops what was built under keys that begin so."""
+def forget(spark: SparkSession, *key) -> None:
+    """Removes what was built under keys that begin so."""
     for full in [k for k in _built if k[1 : 1 + len(key)] == key]:
-        del _built[full]
+        _remove(spark, _built.pop(full)[1])

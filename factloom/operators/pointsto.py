@@ -23,16 +23,20 @@ def _of(constraints: DataFrame, op: str) -> DataFrame:
     return constraints.where(F.col("op") == op).select("dst", "src")
 
 
-def inclusion(constraints: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def inclusion(constraints: DataFrame, most_rounds: int = 10_000, calls: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """ptr, site: the inclusion-based solution (subset constraints), by semi-naive iteration.
 
     A round first turns new points-to facts into new copy edges by LOAD and STORE, then sends new facts over all copy edges
-    and old facts over the new edges; both results are one cut frame.
+    and old facts over the new edges; both results are one cut frame. With ``calls`` (operand, pos, node) and (site, pos, node), calls
+    through pointers are resolved on the way: a function's site in the operand's set makes copies from what is passed at a
+    position to its parameter there, and at position -1 from what it returns to the call.
     """
     spark = constraints.sparkSession
     edge = lambda df, fact, x, y: df.select(F.lit(fact).alias("fact"), F.col(x).alias("x"), F.col(y).alias("y"))
     with lineage.rounds(spark) as cut, lineage.Growing(spark, "fact") as table:
         load, store = cut(_of(constraints, "LOAD").distinct()), cut(_of(constraints, "STORE").distinct())
+        if calls is not None:
+            given, formals = cut(calls[0].select("operand", "pos", F.col("node").alias("given"))), cut(calls[1].select("site", "pos", "node"))
         last = table.add(edge(_of(constraints, "ADDR"), True, "dst", "src").unionByName(edge(_of(constraints, "COPY"), False, "dst", "src")).distinct())
         for _ in range(most_rounds):
             delta = last.where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
@@ -40,7 +44,12 @@ def inclusion(constraints: DataFrame, most_rounds: int = 10_000) -> DataFrame:
             copies = table.all().where("not fact").select(F.col("x").alias("dst"), F.col("y").alias("src"))
             by_load = delta.join(load, F.col("v") == F.col("src")).select("dst", F.col("o").alias("src"))
             by_store = delta.join(store, F.col("v") == F.col("dst")).select(F.col("o").alias("dst"), "src")
-            fresh = by_load.unionByName(by_store).where("dst <> src").distinct().join(copies, ["dst", "src"], "left_anti")
+            links = by_load.unionByName(by_store)
+            if calls is not None:
+                met = delta.join(given, F.col("v") == F.col("operand")).join(formals, (F.col("o") == F.col("site")) & (given["pos"] == formals["pos"]))
+                back = given["pos"] == -1
+                links = links.unionByName(met.select(F.when(back, F.col("given")).otherwise(F.col("node")).alias("dst"), F.when(back, F.col("node")).otherwise(F.col("given")).alias("src")))
+            fresh = links.where("dst <> src").distinct().join(copies, ["dst", "src"], "left_anti")
             along = delta.join(copies, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o")
             along = along.unionByName(pts.join(fresh, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o"))
             new = along.distinct().join(pts, ["v", "o"], "left_anti")

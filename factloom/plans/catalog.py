@@ -82,7 +82,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 def _pts(spark: SparkSession, d: str) -> DataFrame:
     """Solved once for each session and input, as every points-to query starts from it."""
-    return build_once(spark, ("pts", d), lambda: pointsto.inclusion(X.constraints(spark, d)))
+    return build_once(spark, ("pts", d), lambda: pointsto.inclusion(X.constraints(spark, d)), d)
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
@@ -515,3 +515,6 @@ def q_ir_values(spark, d):
   0 as hasMain, 0 as hasGlobalCtor, 0 as hasGlobalDtor from vals group by path""")
 def q_ir_stat(spark, d):
     return ir.statistics(*_module_values(spark, d))
+
+
+from factloom.plans import programs  # noqa: E402, F401  registers its own

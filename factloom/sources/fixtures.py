@@ -127,3 +127,52 @@ def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "array(concat('define ptr @f_', k, '(ptr noundef %a, i32 %b) {'), '  %p = load ptr, ptr %a, align 8', '  ret ptr %p', '}')"
     functions_ = rows.selectExpr("path", "k", f"posexplode(if(k % 17 = 3, array(concat('declare ptr @f_', k, '(ptr)')), {body})) as (pos, line)")
     return types.unionByName(variables).unionByName(functions_.selectExpr("path", "1000000000000 + k * 10 + pos as line_no", "line"))
+
+
+#: Functions of a module of the program below.
+UNIT = 15
+
+#: The lines of an order with each value of its key modulo 8; {k} is its key, {t} another function of the module.
+ORDER_LINES = [
+    ["  %x{k} = call ptr @f_{t}(ptr noundef %a, ptr nonnull align 8 %s, i32 {k})", "  store ptr %x{k}, ptr %s, align 8"],
+    ["  %x{k} = load ptr, ptr %s, align 8", "  store ptr %x{k}, ptr @g0, align 8"],
+    ["  %x{k} = alloca %struct.Pair, align 8", "  store ptr %x{k}, ptr %b, align 8"],
+    ["  %h{k} = load ptr, ptr @h, align 8", "  %x{k} = call ptr %h{k}(ptr %s, ptr getelementptr inbounds (%struct.Pair, ptr @g1, i32 0, i32 1), i32 0)"],
+    ["  store ptr @f_{t}, ptr @h, align 8", "  %x{k} = getelementptr inbounds %struct.Late, ptr %t, i32 0, i32 1"],
+    ["  br label %L{k}", "L{k}:                ; preds = %entry", "  %x{k} = call noalias ptr @malloc(i64 16)", "  store ptr %x{k}, ptr %s, align 8"],
+    ["  %x{k} = select i1 true, ptr %a, ptr %t", "  store ptr %x{k}, ptr %s, align 8"],
+    ["  call void @llvm.memcpy.p0.p0.i64(ptr align 8 %b, ptr align 8 %s, i64 8, i1 false)", "  call void @sink(ptr sret(%struct.Ret) align 4 %t)"],
+]
+
+
+def program_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, line: a program in textual IR. Fifteen customers are a module, a customer is a function and its orders are what it
+    does; every 17th is declared only. Modules have global variables, nested types, debug locations and named metadata."""
+    f = table(spark, sf_dir, "customer").selectExpr("bigint(c_custkey) as k", f"c_custkey div {UNIT} as m", "c_custkey % 17 = 3 as is_decl").selectExpr("concat('m', lpad(m, 9, '0'), '.ll') as path", f"(k - m * {UNIT}) * 1000000000000 + 1000000000 as base", "*")
+    o = table(spark, sf_dir, "orders").selectExpr("bigint(o_orderkey) as o", "bigint(o_custkey) as k").join(f.where("not is_decl"), "k")
+    n = F.broadcast(f.agg(F.count(F.lit(1)).alias("n")))  # one row
+    o = o.join(n).withColumn("t", F.expr(f"m * {UNIT} + (o * 7 + k) % {UNIT}")).withColumn("t", F.expr(f"if(t < n, t, m * {UNIT})"))
+    quoted = lambda line: "concat('" + line.replace("{k}", "', o, '").replace("{t}", "', t, '") + "'"
+    scope = f"100 + 2 * (k - m * {UNIT}) + o % 2"
+    # the first line of an order that is an instruction has its place in the sources
+    kinds = [[quoted(line) + (f", if(o % 11 = 0, '', concat(', !dbg !', 1000 + o)))" if i == 0 else ")") for i, line in enumerate(lines)] for lines in ORDER_LINES]
+    body = "case o % 8 " + " ".join(f"when {j} then array({', '.join(lines)})" for j, lines in enumerate(kinds)) + " end"
+    rows = [o.selectExpr("path", "base", "o", f"posexplode({body}) as (pos, line)").selectExpr("path", "base + 100 + o * 10 + pos as line_no", "line")]
+    head = f"concat('define ptr @f_', k, '(ptr noundef %a, ptr noundef dereferenceable(8) %b, i32 %n) !dbg !', 100 + 2 * (k - m * {UNIT}), ' {{')"
+    first = f"if(is_decl, array(concat('declare ptr @f_', k, '(ptr, ptr, i32)')), array({head}, if(k % 2 = 0, '', 'entry:'), '  %s = alloca ptr, align 8', '  %t = alloca %struct.Pair, align 8'))"
+    rows.append(f.selectExpr("path", "base", f"posexplode({first}) as (pos, line)").selectExpr("path", "base + pos as line_no", "line"))
+    rows.append(f.where("not is_decl").selectExpr("path", "base", "posexplode(array('  %rv = load ptr, ptr %s, align 8', '  ret ptr %rv', '}')) as (pos, line)").selectExpr("path", "base + 900000000000 + pos as line_no", "line"))
+    # 10^9 lines from the last function on: declarations and metadata
+    top = ["concat('source_filename = \"m', m, '.cc\"')", "'%struct.Pair = type { %struct.Inner, ptr }'", "'%struct.Inner = type { i32, ptr }'", "'%struct.Late = type { ptr, ptr }'", "'%struct.Ret = type { i64 }'", "'@g0 = global ptr null, align 8, !dbg !3'", "'@g1 = global %struct.Pair zeroinitializer, align 8'", f"concat('@h = internal global ptr @f_', m * {UNIT}, ', align 8')"]
+    end = ["'declare noalias ptr @malloc(i64)'", "'declare void @llvm.memcpy.p0.p0.i64(ptr, ptr, i64, i1)'", "'declare void @sink(ptr)'", "'!llvm.ident = !{!0}'", "concat('!0 = !{!\"made for m', m, '\"}')", "concat('!1 = !DIFile(filename: \"m', m, '.cc\", directory: \"/src\")')", "'!2 = !DIFile(filename: \"inc.h\", directory: \"/inc\")'",
+           "'!3 = !DIGlobalVariableExpression(var: !4, expr: !DIExpression())'", "'!4 = distinct !DIGlobalVariable(name: \"g0\", scope: !5, file: !1, line: 7, type: !6, isLocal: false)'", "'!5 = distinct !DICompileUnit(language: DW_LANG_C_plus_plus_14, file: !1, producer: \"none\")'"]
+    modules = f.select("path", "m").distinct()
+    rows.append(modules.selectExpr("path", f"posexplode(array({', '.join(top)})) as (pos, line)").selectExpr("path", "bigint(pos + 1) as line_no", "line"))
+    rows.append(modules.selectExpr("path", f"posexplode(array({', '.join(end)})) as (pos, line)").selectExpr("path", f"{UNIT} * 1000000000000 + 2000000000 + pos as line_no", "line"))
+    spec = f"array(concat('!', 100 + 2 * (k - m * {UNIT}), ' = distinct !DISubprogram(name: \"f_', k, '\", scope: !1, file: !1, line: ', k * 3 % 400 + 1, ', unit: !5)'), concat('!', 101 + 2 * (k - m * {UNIT}), ' = distinct !DILexicalBlock(scope: !', 100 + 2 * (k - m * {UNIT}), ', file: !2, line: 3, column: 1)'))"
+    rows.append(f.where("not is_decl").selectExpr("path", "m", "k", f"posexplode({spec}) as (pos, line)").selectExpr("path", f"{UNIT} * 1000000000000 + 3000000000 + k * 2 + pos as line_no", "line"))
+    rows.append(o.where("o % 11 <> 0").selectExpr("path", f"{UNIT} * 1000000000000 + 500000000000 + o as line_no", f"concat('!', 1000 + o, ' = !DILocation(line: ', o % 500 + 1, ', column: ', o % 30 + 1, ', scope: !', {scope}, ')') as line"))
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.unionByName(x)
+    return out.where("line <> ''")

@@ -252,7 +252,7 @@ def test_stream_of_many_batches_equals_one(spark, tmp_path):
     assert rows_of(spark.read.schema(replay.HITS).parquet(out)) == want
 
 
-def test_built_once(spark):
+def test_built_once(spark, tmp_path):
     made = []
 
     def make():
@@ -260,7 +260,11 @@ def test_built_once(spark):
         return spark.range(3)
 
     for _ in range(2):
-        assert lineage.build_once(spark, ("t", 1), make).count() == 3
-    lineage.forget("t")
-    lineage.build_once(spark, ("t", 1), make)
+        assert lineage.build_once(spark, ("t", 1), make, str(tmp_path)).count() == 3
+    lineage.forget(spark, "t")
+    lineage.build_once(spark, ("t", 1), make, str(tmp_path))
     assert len(made) == 2
+    # an input that was written anew is not answered from what was built before
+    (tmp_path / "more.parquet").write_text("x")
+    lineage.build_once(spark, ("t", 1), make, str(tmp_path))
+    assert len(made) == 3
