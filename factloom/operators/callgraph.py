@@ -81,26 +81,26 @@ def callsite_targets(edges: DataFrame) -> DataFrame:
 def reach_set(edges: DataFrame, sources: DataFrame, hops_a_round: int = 4, most_rounds: int = 10_000) -> DataFrame:
     """source, node, hops: what each source reaches over one known edge or more, and in how few.
 
-    A round takes several hops before its result is cut, so that long chains need few jobs. A source reaches itself only over
-    a cycle.
+    A round takes several hops in one job, each without what earlier rounds have found, so that long chains need few jobs. What was
+    found is one growing table. A source reaches itself only over a cycle.
     """
-    with lineage.rounds(edges.sparkSession) as cut:
+    spark = edges.sparkSession
+    with lineage.rounds(spark) as cut, lineage.Growing(spark, "part") as table:
         step = cut(edges.where("callee is not null").select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
-        frontier = sources.select(F.col("vid").alias("source"), F.col("vid").alias("node"), F.lit(0).alias("hops"))
-        seen = None
+        frontier, seen = sources.select(F.col("vid").alias("source"), F.col("vid").alias("node"), F.lit(0).alias("hops")), None
         for _ in range(most_rounds):
-            waves, at = [], frontier
+            found, at = [], frontier
             for _ in range(hops_a_round):
                 at = at.join(step, "node").groupBy("source", F.col("next").alias("node")).agg((F.min("hops") + 1).alias("hops"))
-                waves.append(at)
-            new = reduce(DataFrame.unionByName, waves).groupBy("source", "node").agg(F.min("hops").alias("hops"))
-            new = cut(new if seen is None else new.join(seen, ["source", "node"], "left_anti"))
+                at = at if seen is None else at.join(seen, ["source", "node"], "left_anti")
+                found.append(at)
+            new = reduce(DataFrame.unionByName, found).groupBy("source", "node").agg(F.min("hops").alias("hops"))
+            new = table.add(new.select("source", "node", "hops", F.lit(0).alias("part")))
             last = new.agg(F.max("hops")).first()[0]
-            seen = new if seen is None else seen.unionByName(new)
             if last is None:
-                return lineage.cut(seen)
+                return lineage.cut(table.all().select("source", "node", "hops"))
             # only what the last hop found leads on: what came before was already followed
-            frontier = new.where(F.col("hops") == last)
+            frontier, seen = new.where(F.col("hops") == last).select("source", "node", "hops"), table.all().select("source", "node")
     raise RuntimeError("reachable sets have not converged")
 
 
@@ -119,37 +119,86 @@ def reachable(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool = False)
     return hit.select("source", "target", F.coalesce("hit", "blind", F.lit(False)).alias("reachable"))
 
 
-def path(edges: DataFrame, source: int, target: int, most_hops: int = 10_000) -> DataFrame:
-    """hop, type, caller, callsite, callee of one shortest call path over known edges; empty without one.
+def waves(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool, table: lineage.Growing, most_hops: int) -> DataFrame:
+    """source, node, via, hops: what each source reaches, in how few edges, and the smallest caller one edge before; and at hops 0
+    the source itself. One wave a job, each added to ``table``.
 
-    Ties go to the smallest caller and then the first edge. Frontiers stop at the target.
+    A source is followed while one of its pairs (source, target) is open: not reached, and no unknown edge met. That is looked at
+    in every fourth wave, as following a source for longer than needed changes no answer.
     """
     spark = edges.sparkSession
-    known = first_of_pairs(edges.where("callee is not null"))
-    step = lineage.cut(known)
-    seen = spark.createDataFrame([(source, 0)], "node int, hops int")
-    frontier, waves = seen, []
-    for hop in range(1, most_hops + 1):
-        at = frontier.join(step, F.col("node") == F.col("caller")).groupBy("callee").agg(F.min("caller").alias("via")).select(F.col("callee").alias("node"), "via", F.lit(hop).alias("hops"))
-        keep = seen if hop > 1 else seen.where("false")  # the source itself may be found over a cycle
-        new = lineage.cut(at.join(keep.select("node"), "node", "left_anti"))
-        if new.isEmpty():
-            return step.withColumn("hop", F.lit(0)).select("hop", *EDGE).where("false")
-        waves.append(new)
-        if not new.where(F.col("node") == target).isEmpty():
-            break
-        seen = seen.unionByName(new.select("node", "hops"))
-        frontier = new.select("node", "hops")
-    else:
-        return step.withColumn("hop", F.lit(0)).select("hop", *EDGE).where("false")
-    # one row a hop, from the target back
-    node, pairs = target, []
-    for wave in reversed(waves):
-        r = wave.where(F.col("node") == node).first()
-        pairs.append((r["hops"], r["via"], node))
-        node = r["via"]
-    steps = spark.createDataFrame(pairs, "hop int, caller int, callee int")
-    return step.join(F.broadcast(steps), ["caller", "callee"]).select("hop", *EDGE)
+    with lineage.rounds(spark) as cut:
+        step = cut(edges.where("callee is not null").select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct())
+        blind = cut(edges.where("type = 'unknown'").select(F.col("caller").alias("node")).distinct())
+        asked = cut(pairs.select("source", "target").distinct())
+        start = asked.select("source", F.col("source").alias("node"), F.lit(None).cast(asked.schema["source"].dataType).alias("via"), F.lit(0).alias("hops"), F.lit(0).alias("part")).distinct()
+        last = table.add(start)
+        for hop in range(1, most_hops + 1):
+            # the source itself may be met again over a cycle, so its start doesn't count as seen
+            seen = table.all().where("hops > 0").select("source", "node")
+            if hop % 4 == 1:
+                open_ = asked.join(seen.withColumnRenamed("node", "target"), ["source", "target"], "left_anti").select("source").distinct()
+                if not ignore_unknown:
+                    open_ = open_.join(table.all().join(blind, "node", "left_semi").select("source").distinct(), "source", "left_anti")
+                open_ = cut(open_)
+            at = last.join(open_, "source", "left_semi").join(step, "node").groupBy("source", F.col("next").alias("found")).agg(F.min("node").alias("via"))
+            new = at.withColumnRenamed("found", "node").join(seen, ["source", "node"], "left_anti").select("source", "node", "via", F.lit(hop).alias("hops"), F.lit(0).alias("part"))
+            last = table.add(new)
+            if last.isEmpty():
+                return table.all().select("source", "node", "via", "hops")
+    raise RuntimeError(f"paths of more than {most_hops} edges")
+
+
+def paths(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool = False, most_hops: int = 10_000) -> DataFrame:
+    """source, target, hop, type, caller, callsite, callee: for each pair a call path of one edge or more, as short as can be.
+
+    It ends in the target or, unless these are ignored, in an unknown edge, which may go anywhere; of equally short ones that to the
+    target counts, then the smallest caller at each step from the end, and of the edges between two functions the first by call
+    site. Pairs without a path have no row. Paths are read back from the waves by pointer doubling: jumps of 2^i edges are
+    joined from two of half the length, and a path's edges are found by jumping from those already found, longest jumps
+    first, so that a path of n edges takes about log n rounds.
+
+    Defined cases: repeated pairs count once; a source that is its target needs a cycle; identifiers that no edge has, nulls
+    and empty tables give no rows; patched edges (without call site) are edges like others, after those with one.
+    """
+    spark = edges.sparkSession
+    with lineage.rounds(spark) as cut, lineage.Growing(spark, "part") as table:
+        edges = cut(edges.select(*EDGE))
+        met = cut(waves(edges, pairs, ignore_unknown, table, most_hops))
+        asked = pairs.select("source", "target").distinct()
+        known = met.where("hops > 0").select("source", F.col("node").alias("target"), F.col("hops").alias("to_target"))
+        ends = asked.join(known, ["source", "target"], "left")
+        if ignore_unknown:
+            ends = ends.withColumn("u", F.lit(None).cast("struct<hops: int, node: int>"))
+        else:
+            blind = met.join(edges.where("type = 'unknown'").select(F.col("caller").alias("node")).distinct(), "node", "left_semi")
+            # the source's own unknown edge is met before any other, and hops 0 stands for it alone
+            ends = ends.join(blind.groupBy("source").agg(F.min(F.struct("hops", "node")).alias("u")), "source", "left")
+        by_target = F.col("to_target").isNotNull() & (F.col("u").isNull() | (F.col("to_target") <= F.col("u.hops") + 1))
+        ends = ends.where("to_target is not null or u is not null").withColumn("blind", ~by_target)
+        ends = cut(ends.select("source", "target", "blind", F.when(by_target, F.col("target")).otherwise(F.col("u.node")).alias("node"), F.when(by_target, F.col("to_target")).otherwise(F.col("u.hops")).alias("hops")))
+        longest = ends.agg(F.max("hops")).first()[0] or 0
+        # jumps over 2^i edges back, of every node that was met
+        jump = cut(met.where("hops > 1").select("source", "node", "hops", F.col("via").alias("to"), (F.col("hops") - 1).alias("to_hops")))
+        jumps = [jump] if longest > 1 else []
+        while 2 ** len(jumps) < longest:
+            on = jumps[-1].select("source", F.col("node").alias("to"), F.col("hops").alias("to_hops"), F.col("to").alias("far"), F.col("to_hops").alias("far_hops"))
+            jumps.append(cut(jumps[-1].join(on, ["source", "to", "to_hops"]).select("source", "node", "hops", F.col("far").alias("to"), F.col("far_hops").alias("to_hops"))))
+        found = ends.where("hops > 0").select("source", "target", "node", "hops")
+        for jump in reversed(jumps):
+            found = cut(found.unionByName(found.join(jump, ["source", "node", "hops"]).select("source", "target", F.col("to").alias("node"), F.col("to_hops").alias("hops"))))
+        steps = found.join(met, ["source", "node", "hops"]).select("source", "target", F.col("hops").alias("hop"), F.col("via").alias("caller"), F.col("node").alias("callee"))
+        first = first_of_pairs(edges)
+        own = steps.join(first.where("callee is not null"), ["caller", "callee"]).select("source", "target", "hop", *EDGE)
+        last = ends.where("blind").select("source", "target", (F.col("hops") + 1).alias("hop"), F.col("node").alias("caller")).join(first.where("callee is null"), "caller").select("source", "target", "hop", *EDGE)
+        return lineage.cut(own.unionByName(last))
+
+
+def path(edges: DataFrame, source: int, target: int, most_hops: int = 10_000) -> DataFrame:
+    """hop, type, caller, callsite, callee of one shortest call path over known edges (see ``paths``); empty without one. More than
+    ``most_hops`` edges raise."""
+    pair = edges.sparkSession.createDataFrame([(source, target)], "source int, target int")
+    return paths(edges, pair, True, most_hops).drop("source", "target")
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5, silent: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,10 @@ targets points nowhere: the two stay apart in every query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import lineage
@@ -23,13 +24,17 @@ def _of(constraints: DataFrame, op: str) -> DataFrame:
     return constraints.where(F.col("op") == op).select("dst", "src")
 
 
-def inclusion(constraints: DataFrame, most_rounds: int = 10_000, calls: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def inclusion(
+    constraints: DataFrame, most_rounds: int = 10_000, calls: tuple[DataFrame, DataFrame] | None = None,
+    reads: Callable[[Column], Column] | None = None, moves: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """ptr, site: the inclusion-based solution (subset constraints), by semi-naive iteration.
 
     A round first turns new points-to facts into new copy edges by LOAD and STORE, then sends new facts over all copy edges
     and old facts over the new edges; both results are one cut frame. With ``calls`` (operand, pos, node) and (site, pos, node), calls
     through pointers are resolved on the way: a function's site in the operand's set makes copies from what is passed at a
-    position to its parameter there, and at position -1 from what it returns to the call.
+    position to its parameter there, and at position -1 from what it returns to the call. ``reads`` tells which cells a load from an
+    object reads (an array; itself alone by default), ``moves`` which facts (v, o) follow at once from new ones: see ``fields``.
     """
     spark = constraints.sparkSession
     edge = lambda df, fact, x, y: df.select(F.lit(fact).alias("fact"), F.col(x).alias("x"), F.col(y).alias("y"))
@@ -42,7 +47,7 @@ def inclusion(constraints: DataFrame, most_rounds: int = 10_000, calls: tuple[Da
             delta = last.where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
             pts = table.all().where("fact").select(F.col("x").alias("v"), F.col("y").alias("o"))
             copies = table.all().where("not fact").select(F.col("x").alias("dst"), F.col("y").alias("src"))
-            by_load = delta.join(load, F.col("v") == F.col("src")).select("dst", F.col("o").alias("src"))
+            by_load = delta.join(load, F.col("v") == F.col("src")).select("dst", (F.explode(reads(F.col("o"))) if reads else F.col("o")).alias("src"))
             by_store = delta.join(store, F.col("v") == F.col("dst")).select(F.col("o").alias("dst"), "src")
             links = by_load.unionByName(by_store)
             if calls is not None:
@@ -52,6 +57,7 @@ def inclusion(constraints: DataFrame, most_rounds: int = 10_000, calls: tuple[Da
             fresh = links.where("dst <> src").distinct().join(copies, ["dst", "src"], "left_anti")
             along = delta.join(copies, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o")
             along = along.unionByName(pts.join(fresh, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "o"))
+            along = along.unionByName(moves(delta)) if moves else along
             new = along.distinct().join(pts, ["v", "o"], "left_anti")
             last = table.add(edge(new, True, "v", "o").unionByName(edge(fresh, False, "dst", "src")))
             if last.isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
-from factloom.operators import callgraph, commands, notes, pointsto, sites, symbols
+from factloom.operators import callgraph, commands, fields, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, shared_dir
 from factloom.sources import files, ir
 from factloom.sources import fixtures as X
@@ -287,12 +287,41 @@ def q_reach_ignore_unknown(spark, d):
     return callgraph.reachable(X.call_edges(spark, d), _pairs(spark, d), ignore_unknown=True)
 
 
-@query()
+def _paths_sql(ignore_unknown: bool) -> str:
+    """Levels as breadth-first search finds them, the end that decides, and the way back to the source, edge by edge."""
+    ends = "select source, target, false as blind, target as node, hops as h from pr join lv on lv.source = pr.source and lv.node = pr.target" if ignore_unknown else """select pr.source, pr.target, lv.hops is null or lv.hops > bl.u.h + 1 as blind, case when lv.hops is null or lv.hops > bl.u.h + 1 then bl.u.n else pr.target end as node, case when lv.hops is null or lv.hops > bl.u.h + 1 then bl.u.h else lv.hops end as h
+    from pr left join lv on lv.source = pr.source and lv.node = pr.target left join (select source, min({'h': hops, 'n': node}) as u from (select source, node, hops from lv union all select distinct source, source, 0 from pr) z where node in (select caller from eg where type = 'unknown') group by source) bl on bl.source = pr.source where lv.hops is not null or bl.u is not null"""
+    ends = ends.replace("select source, target, false", "select pr.source, pr.target, false")
+    return f"""with recursive {EDGES}, {FUNCS}, {_PAIRS},
+good as (select o_orderkey as seq, o_custkey::int as caller, ((o_orderkey * 13) % ((select count(*) from customer) + 5))::int as callee from orders join fn on fn.vid = o_custkey where not is_decl and not is_intrinsic and o_orderkey % 64 = 7 and (o_orderkey * 13) % ((select count(*) from customer) + 5) < (select count(*) from customer)),
+eg as (select type, caller, callsite, callee from edges union all select 'indirect', caller, null, callee from good),
+lv(source, node, hops, via) using key (source, node) as (
+  select p.source, callee, 1, caller from (select distinct source from pr) p join eg on caller = p.source where callee is not null group by all
+  union
+  (select l.source, e.callee, min(l.hops) + 1, min(e.caller) from lv l join eg e on e.caller = l.node where e.callee is not null and not exists (select 1 from recurring.lv q where q.source = l.source and q.node = e.callee) group by l.source, e.callee)),
+en as ({ends}),
+pt(source, target, node, h) as (select source, target, node, h from en where h > 0 union all select pt.source, pt.target, lv.via, pt.h - 1 from pt join lv on lv.source = pt.source and lv.node = pt.node where pt.h > 1),
+fe as (select caller, callee, arg_min(type, coalesce(callsite, 1e12)) as type, min(callsite) as callsite from eg group by caller, callee)
+select pt.source, pt.target, pt.h::int as hop, fe.type, fe.caller, fe.callsite, fe.callee from pt join lv on lv.source = pt.source and lv.node = pt.node join fe on fe.caller = lv.via and fe.callee = pt.node
+union all select en.source, en.target, (h + 1)::int, fe.type, fe.caller, fe.callsite, fe.callee from en join fe on fe.caller = en.node and fe.callee is null where blind"""
+
+
+def _with_some_patches(spark, d):
+    """The edges and those of every 64th patch."""
+    good, _ = callgraph.patch_edges(X.patches(spark, d).where("seq % 64 = 7"), _index(spark, d))
+    return callgraph.with_patches(X.call_edges(spark, d), good, X.functions(spark, d)).select(*callgraph.EDGE)
+
+
+@query(_paths_sql(False))
 def q_reach_path(spark, d):
-    """A shortest path is one of several, so the tests check it instead of SQL."""
-    edges = X.call_edges(spark, d)
-    far = callgraph.reach_set(edges, X.functions(spark, d).where("vid % 100 = 0").select("vid")).orderBy(F.desc("hops"), "source", "node").first()
-    return callgraph.path(edges, far["source"], far["node"]) if far else edges.where("false").withColumn("hop", F.lit(0))
+    """Of every hundredth function, the shortest call path to eight others, over patched edges too; unknown edges lead anywhere."""
+    return callgraph.paths(_with_some_patches(spark, d), _pairs(spark, d))
+
+
+@query(_paths_sql(True))
+def q_reach_path_known(spark, d):
+    """The same over known edges alone."""
+    return callgraph.paths(_with_some_patches(spark, d), _pairs(spark, d), ignore_unknown=True)
 
 
 @query(f"with recursive {EDGES}, t as (select caller as root, caller, callee, 1 as depth from edges where caller % 100 = 0 union select t.root, e.caller, e.callee, t.depth + 1 from t join edges e on e.caller = t.callee where t.depth < 5), m as (select root, caller, callee, min(depth)::int as depth from t group by root, caller, callee) select * from m")
@@ -413,6 +442,45 @@ def q_command_batch(spark, d):
     return commands.answer(lines, X.call_edges(spark, d), _pts(spark, d), _status(spark, d), _index(spark, d))
 
 
+# ---- fields --------------------------------------------------------------------------------------------------------
+
+_FIELD_CONS = """c0 as (select case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' when 5 then 'GEP' when 6 then 'GEP' else 'COPY' end op,
+  l_orderkey * 3 + l_linenumber % 3 dst, l_partkey * 13 + l_suppkey * 7 h, l_suppkey, l_partkey from lineitem),
+fc as (select distinct op, dst::bigint as dst, (case when op = 'ADDR' then case when l_partkey % 500 = 7 then 0 else -1 - ((dst // 120) * 15 + l_suppkey % 15) end else (dst // 120) * 120 + h % 120 end)::bigint as src, case when op = 'GEP' and l_suppkey % 11 <> 0 then (l_partkey % 3)::int end as off from c0)"""
+#: A node is (v, vf): a variable with vf 0, or a site and one of its fields. Unknown memory is site 0, written as variable -1000000000.
+_FIELD_PTS = "recursive " + _FIELD_CONS + """, hole as (select -1000000000::bigint as z), fo as (select op, dst, case when op = 'ADDR' and src = 0 then z else src end as src, off from fc, hole),
+sol(v, vf, o, f, n) using key (v, vf, o, f) as (
+  (select dst, 0, src, 0, 0 from fo where op = 'ADDR' union select z, 0, z, 0, 0 from hole)
+  union
+  (select x.v, x.vf, x.o, x.f, 1 from (
+     select c.dst v, 0 vf, p.o, p.f from recurring.sol p join fo c on c.op = 'COPY' and c.src = p.v
+     union select c.dst, 0, p2.o, p2.f from recurring.sol p join fo c on c.op = 'LOAD' and c.src = p.v join recurring.sol p2 on p2.v = p.o and (p2.vf = p.f or p2.vf = -1 or p.f = -1)
+     union select p.o, p.f, p2.o, p2.f from recurring.sol p join fo c on c.op = 'STORE' and c.dst = p.v join recurring.sol p2 on p2.v = c.src
+     union select c.dst, 0, p.o, case when p.o = z then 0 when off is null or p.f = -1 or p.f + off > (-p.o) % 4 then -1 else p.f + off end from recurring.sol p join fo c on c.op = 'GEP' and c.src = p.v, hole) x
+   where not exists (select 1 from recurring.sol q where q.v = x.v and q.vf = x.vf and q.o = x.o and q.f = x.f)))"""
+
+
+def _field_pts(spark: SparkSession, d: str) -> DataFrame:
+    return build_once(spark, ("fields", d), lambda: fields.inclusion(X.field_constraints(spark, d), X.object_sizes(spark, d)), d)
+
+
+@query(f"with {_FIELD_PTS} select case when v >= 0 then v end as ptr, case when v < 0 then case when v = z then 0 else v end end as base, case when v < 0 then vf::int end as base_field, case when o = z then 0 else o end as site, f::int as field from sol, hole")
+def q_pts_fields(spark, d):
+    """Field-sensitive inclusion: what pointers and fields of objects point to, objects' fields being found while solving."""
+    return _field_pts(spark, d)
+
+
+@query(f"""with {_FIELD_PTS}, pp as (select distinct n as ptr, n % 97 <> 5 as known from (select dst as n from fc union all select src from fc where op <> 'ADDR')),
+q as (select distinct least(a.ptr, b.ptr) as a, greatest(a.ptr, b.ptr) as b from pp a join pp b on b.ptr = (a.ptr // 120) * 120 + (a.ptr * 13 + 5) % 120), lost as (select ptr from pp where not known union select v from sol, hole where o = z)
+select a, b, case when a in (select ptr from lost) or b in (select ptr from lost) or exists (select 1 from sol x join sol y on x.o = y.o and (x.f = y.f or x.f = -1 or y.f = -1) where x.v = q.a and y.v = q.b) then 'May' else 'No' end as result from q""")
+def q_alias_fields(spark, d):
+    """Aliases by shared fields of objects, with memory that nothing is known of."""
+    c = X.field_constraints(spark, d)
+    status = c.selectExpr("bigint(dst) as ptr").unionByName(c.where("op <> 'ADDR'").selectExpr("bigint(src) as ptr")).distinct().withColumn("known", F.expr("ptr % 97 <> 5"))
+    pairs = status.selectExpr("ptr as a", "(ptr div 120) * 120 + (ptr * 13 + 5) % 120 as b").join(status.select(F.col("ptr").alias("b")), "b").select("a", "b")
+    return fields.alias(pairs, _field_pts(spark, d), status)
+
+
 # ---- traces --------------------------------------------------------------------------------------------------------
 
 

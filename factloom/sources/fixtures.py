@@ -176,3 +176,19 @@ def program_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for x in rows[1:]:
         out = out.unionByName(x)
     return out.where("line <> ''")
+
+
+def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op, dst, src, offset of every line item: ``constraints`` with every fifth moving a pointer by up to two fields or, without an
+    offset, anywhere in its object; now and then an address is that of unknown memory (site 0). An order has three variables; 120 variables and 15 sites make a unit."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' when 5 then 'GEP' when 6 then 'GEP' else 'COPY' end as op",
+        "int(l_orderkey * 3 + l_linenumber % 3) as dst", "l_partkey * 13 + l_suppkey * 7 as h", "l_suppkey", "l_partkey",
+    )
+    src = "int(case when op = 'ADDR' then if(l_partkey % 500 = 7, 0, -1 - ((dst div 120) * 15 + l_suppkey % 15)) else (dst div 120) * 120 + h % 120 end)"
+    return rows.selectExpr("op", "dst", f"{src} as src", "int(case when op = 'GEP' and l_suppkey % 11 <> 0 then l_partkey % 3 end) as offset").distinct()
+
+
+def object_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, size of the objects of ``field_constraints``: one field to four."""
+    return field_constraints(spark, sf_dir).where("op = 'ADDR' and src < 0").selectExpr("src as site", "int((-src) % 4 + 1) as size").distinct()

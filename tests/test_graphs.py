@@ -1,6 +1,7 @@
 """Call graphs, points-to solvers and traces: small programs by hand, and brute force on random ones."""
 
 import itertools
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -268,3 +269,65 @@ def test_built_once(spark, tmp_path):
     (tmp_path / "more.parquet").write_text("x")
     lineage.build_once(spark, ("t", 1), make, str(tmp_path))
     assert len(made) == 3
+
+
+def shortest(edges, source, target, ignore):
+    """The path by breadth-first search over levels, smallest caller first, from the end back."""
+    level, hops = {source}, {}
+    via, blind, depth = {}, None, 0
+    callers = {}
+    for t, c, _, e in edges:
+        callers.setdefault(c, []).append((t, e))
+    while level:
+        unknown = [n for n in level if any(t == "unknown" for t, _ in callers.get(n, []))]
+        nxt = {}
+        for n in sorted(level):
+            for t, e in callers.get(n, []):
+                if t != "unknown" and e not in hops and e not in nxt:
+                    nxt[e] = n
+        depth += 1
+        for e, n in nxt.items():
+            hops[e], via[(e, depth)] = depth, n
+        if target in nxt:
+            end = (target, depth)
+            break
+        if unknown and not ignore:
+            blind, end = min(unknown), (min(unknown), depth - 1)
+            break
+        level = set(nxt)
+    else:
+        return []
+    out = []
+    node, depth = end
+    while depth > 0:
+        out.append((depth, via[(node, depth)], node))
+        node, depth = via[(node, depth)], depth - 1
+    return sorted(out) + ([(end[1] + 1, blind, None)] if blind is not None else [])
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+def test_paths_of_pairs_against_breadth_first_search(spark, ignore):
+    rng = random.Random(17 + ignore)
+    for n, m, unknown in ((12, 20, 2), (40, 55, 3), (60, 62, 0)):
+        edges = [("direct" if rng.random() < 0.5 else "indirect", rng.randrange(n), None if rng.random() < 0.2 else 1000 + i, rng.randrange(n)) for i in range(m)]
+        edges += [("direct", i, 500 + i, i + 1) for i in range(n, n + 37)] + [("direct", 3, 499, n)]  # a chain: many jumps
+        edges += [("unknown", rng.randrange(n), 2000 + i, None) for i in range(unknown)]
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(60)] + [(3, n + 37), (3, n + 37), (0, 0), (9999, 1), (1, 9999)]
+        frame = spark.createDataFrame(edges, "type string, caller int, callsite int, callee int")
+        got = callgraph.paths(frame, spark.createDataFrame(pairs, "source int, target int"), ignore).collect()
+        by = {}
+        for r in got:
+            by.setdefault((r.source, r.target), []).append((r.hop, r.caller, r.callee))
+            same = [(s is None, s or 0, t) for t, c, s, e in edges if c == r.caller and e == r.callee]
+            assert (r.callsite is None, r.callsite or 0, r.type) == min(same)
+        for p in set(pairs):
+            assert sorted(by.get(p, []), key=lambda x: x[0]) == shortest(edges, *p, ignore), p
+
+
+def test_paths_beyond_a_limit_raise(spark):
+    chain = spark.createDataFrame([("direct", i, i, i + 1) for i in range(30)], "type string, caller int, callsite int, callee int")
+    with pytest.raises(RuntimeError):
+        callgraph.path(chain, 0, 30, most_hops=10)
+    assert callgraph.path(chain, 5, 2).count() == 0 and callgraph.path(chain, 0, 9).count() == 9
+    empty = chain.where("false")
+    assert callgraph.paths(empty, empty.selectExpr("caller as source", "callee as target")).count() == 0
