@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,12 +16,12 @@ NOT_SPACES = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="factloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -95,10 +94,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def named(column: str) -> F.Column:
+    """A column by its name as it stands, dots and backticks included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def packed_others(docs: DataFrame, *plain: str) -> DataFrame:
-    """The plain columns and, as one struct, all others, so that no name of theirs meets one that an operator adds."""
+    """The plain columns and, as one struct, all others, so that no name of theirs meets one that an operator adds. A struct needs a
+    field even if there are no others: its name is none of theirs."""
     others = [c for c in docs.columns if c not in plain]
-    return docs.select(*plain, F.struct(*[docs[c] for c in others], F.lit(0).alias("_")).alias("_others"))
+    filler = "_" * (1 + max((len(c) for c in others), default=0))
+    return docs.select(*plain, F.struct(*[named(c).alias(c) for c in others], F.lit(0).alias(filler)).alias("_others"))
 
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:

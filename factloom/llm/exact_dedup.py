@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES, packed_others, settle, unpacked
+from factloom.llm.common import SPACES, named, packed_others, settle, unpacked
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -48,7 +48,7 @@ def content_sort(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 (of the normalised text)."""
     columns = [c for c in docs.columns if c not in ADDED]
     # written once: sampling splitters, counting and sorting then read digests and beginnings instead of making them again
-    norm = packed_others(docs.select(*columns), "doc_id", "text").withColumn("_norm", normal(F.col("text")))
+    norm = packed_others(docs.select(*[named(c) for c in columns]), "doc_id", "text").withColumn("_norm", normal(F.col("text")))
     rows = settle(norm.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_head", F.substring("_norm", 1, 32)).drop("_norm"))
     least = max(2.0, hot_share * rows.count())
     hot = rows.groupBy("text_sha256").count().where(F.col("count") > F.lit(least)).select("text_sha256", F.ceil(F.col("count") / F.lit(least)).alias("_parts"))

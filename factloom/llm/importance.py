@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import PRIME, SPACE, byte_grams, mix, packed, packed_others, run_hashes, runs, settle, slices, small_batches, unpacked
+from factloom.llm.common import PRIME, SPACE, byte_grams, mix, named, packed, packed_others, run_hashes, runs, settle, slices, small_batches, unpacked
 
 ADDED = ["log_weight", "score", "key", "kept"]
 BYTES = 3
@@ -87,7 +88,7 @@ def log_ratios(counts, buckets: int, prior: float) -> np.ndarray:
 def weigh(docs: DataFrame, ratios: np.ndarray, half: float, columns: list[str]) -> DataFrame:
     """The columns of ``docs`` with log_weight and score."""
     kept = [f for f in docs.schema.fields if f.name in columns]
-    docs = docs.select(*[f.name for f in docs.schema.fields if f.name in columns or f.name == "text"])
+    docs = docs.select(*[named(f.name) for f in docs.schema.fields if f.name in columns or f.name == "text"])
     buckets = len(ratios) // KINDS
 
     def each(batches):
@@ -101,7 +102,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, half: float, columns: list[str])
                     score += total / np.maximum(n, 1) * half * np.tanh(n / half)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(weight), pa.array(score)], [*[f.name for f in kept], "log_weight", "score"])
 
-    return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double, score double")
+    return docs.mapInArrow(each, T.StructType([*kept, T.StructField("log_weight", T.DoubleType()), T.StructField("score", T.DoubleType())]))
 
 
 def threshold(scored: list[tuple[float, int]], good_is_worth: float) -> float:
