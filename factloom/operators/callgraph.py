@@ -123,7 +123,7 @@ def waves(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool, table: linea
     """source, node, via, hops: what each source reaches, in how few edges, and the smallest caller one edge before; and at hops 0
     the source itself. One wave a job, each added to ``table``.
 
-    A source is followed while one of its pairs (source, target) is open: not reached, and no unknown edge met. That is looked at
+    A source is followed while one of its pairs (source, target) is open: not reached, and no shorter way to an unknown edge. That is looked at
     in every fourth wave, as following a source for longer than needed changes no answer.
     """
     spark = edges.sparkSession
@@ -139,7 +139,7 @@ def waves(edges: DataFrame, pairs: DataFrame, ignore_unknown: bool, table: linea
             if hop % 4 == 1:
                 open_ = asked.join(seen.withColumnRenamed("node", "target"), ["source", "target"], "left_anti").select("source").distinct()
                 if not ignore_unknown:
-                    open_ = open_.join(table.all().join(blind, "node", "left_semi").select("source").distinct(), "source", "left_anti")
+                    open_ = open_.join(table.all().where(F.col("hops") < hop - 1).join(blind, "node", "left_semi").select("source").distinct(), "source", "left_anti")
                 open_ = cut(open_)
             at = last.join(open_, "source", "left_semi").join(step, "node").groupBy("source", F.col("next").alias("found")).agg(F.min("node").alias("via"))
             new = at.withColumnRenamed("found", "node").join(seen, ["source", "node"], "left_anti").select("source", "node", "via", F.lit(hop).alias("hops"), F.lit(0).alias("part"))
