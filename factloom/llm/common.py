@@ -156,6 +156,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def order_within(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Indices that sort ``h`` inside each run [bounds[i], bounds[i + 1]), one run after the other; equal values come in any order.
+
+    Runs of about one length are the rows of a matrix: many short sorts take a fraction of the time of one by two keys.
+    """
+    out = np.empty(len(h), np.int64)
+    size = np.diff(bounds)
+    bits = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    for b in np.unique(bits):
+        some = np.flatnonzero((bits == b) & (size > 0))
+        first, n = bounds[:-1][some][:, None], size[some][:, None]
+        place = np.arange(1 << int(b))
+        inside = place < n
+        at = (first + place)[inside]
+        rows = np.full(inside.shape, np.iinfo(np.uint64).max)
+        rows[inside] = h[at]
+        order = np.argsort(rows, axis=1)
+        out[at] = (order + first)[order < n]  # what only fills a row up is left out, wherever it came
+    return out
+
+
 def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of ``inside`` bytes; runs end where a row ends."""
     n = len(inside)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import binaries, cut, drop, mix, settle
+from factloom.llm.common import binaries, cut, drop, mix, order_within, settle
 
 #: Odd multipliers of the signature's coordinates, made by rule.
 _MULTIPLIERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -140,10 +140,12 @@ def forest(start: np.ndarray, end: np.ndarray, ids: np.ndarray, compare: Callabl
 
 
 def set_comparer(h: np.ndarray, bounds: np.ndarray, group: np.ndarray, num: int, den: int, chunk: int = 1 << 22) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """For ``forest``: whether the sets ``h[bounds[i]:bounds[i + 1]]`` of two rows have den * |x & y| >= num * |x | y|."""
+    """For ``forest``: whether the sets ``h[bounds[i]:bounds[i + 1]]`` of two rows have den * |x & y| >= num * |x | y|.
+    ``group``: each row's group; rows come group by group."""
     size = np.diff(bounds)
     owner = np.repeat(group, size)
-    order = np.lexsort((h, owner))
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    order = order_within(h, np.r_[bounds[first], len(h)])
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     element = np.empty(len(h), np.int64)

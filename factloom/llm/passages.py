@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near, screen
-from factloom.llm.common import binaries, cut, drop, packed, packed_others, settle, slices, unpacked
+from factloom.llm.common import binaries, cut, drop, order_within, packed, packed_others, settle, slices, unpacked
 from factloom.llm.near_dedup import set_ids, with_digest
 
 #: Texts are worked on in slices of about so many bytes, whose arrays stay in the processor's caches.
@@ -39,8 +39,7 @@ class Units:
     def distinct_sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of each unit."""
         unit = np.repeat(np.arange(len(self.row)), np.diff(self.bounds))
-        order = np.lexsort((self.h, unit))
-        h, unit = self.h[order], unit[order]
+        h = self.h[order_within(self.h, self.bounds)]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
         return h[new], np.searchsorted(unit[new], np.arange(len(self.row) + 1))
