@@ -2,7 +2,7 @@
 
 All variables on a cycle of copies have one points-to set. ``strong_components`` finds such cycles by trimming (a node without an edge
 in, or out, is on none), colours (the smallest node that reaches a node) and backward reach inside a colour from the node that gave it; what
-is left goes on with the edges inside colours alone. ``inclusion`` joins them between waves: facts then travel over a graph without
+is left goes on with the edges inside colours alone, and once it is no more than a bounded number of edges, in one task. ``inclusion`` joins them between waves: facts then travel over a graph without
 cycles, as deep as its longest chain, and are kept once for a cycle.
 
 Defined cases: null operands give no edge and no fact; repeated constraints count once; an edge from a node to itself is no cycle;
@@ -11,6 +11,8 @@ empty tables give an empty result; nodes are whole numbers of any sign. A fixpoi
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +27,22 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """node, component (its smallest node) of the nodes of edges (dst, src) that lie on a cycle of two nodes or more."""
+def strong_components(edges: DataFrame, most_rounds: int = 10_000, edges_a_task: int = 200_000) -> DataFrame:
+    """node, component (its smallest node) of the nodes of edges (dst, src) that lie on a cycle of two nodes or more.
+
+    ``edges_a_task``: what is left of the edges is one task's work when it is no more than so many; 0 leaves all to Spark.
+    """
     spark = edges.sparkSession
     with lineage.rounds(spark) as cut:
         rest = cut(edges.where("dst <> src").select("dst", "src").distinct())
         n, found = rest.count(), []
         for _ in range(most_rounds):
-            while n:  # a chain is trimmed from both of its ends
+            before = None
+            while n > edges_a_task and n != before:  # a chain is trimmed from both of its ends
                 rest = cut(_trimmed(_trimmed(rest)))
                 n, before = rest.count(), n
-                if n == before:
-                    break
-            if not n:
+            if n <= edges_a_task:
+                found.append(cut(_in_one_task(rest)))
                 break
             inner = cut(_in_colours(rest, _coloured(rest, cut, most_rounds)))
             on = _reaching(inner, cut, most_rounds)
@@ -53,6 +58,55 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         return lineage.cut(every)
 
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """node, component of a bounded number of edges, by one depth-first search that keeps its own stack."""
+
+    def each(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            nodes, where = np.unique(np.r_[t.column("src").to_numpy(), t.column("dst").to_numpy()], return_inverse=True)
+            label = _components_of(len(nodes), where[: t.num_rows], where[t.num_rows :])
+            least = np.full(len(nodes), len(nodes))
+            np.minimum.at(least, label, np.arange(len(nodes)))
+            on = np.flatnonzero(np.bincount(label, minlength=len(nodes))[label] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[on], t.schema.field("dst").type), pa.array(nodes[least[label[on]]], t.schema.field("dst").type)], ["node", "component"])
+
+    kind = edges.schema["dst"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(each, f"node {kind}, component {kind}")
+
+
+def _components_of(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """A number for each node that the nodes of its strong component share: path-based search, linear in the edges."""
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, seen, label, count = first[:-1], [-1] * n, [-1] * n, 0
+    for root in range(n):
+        path = [root] if seen[root] < 0 else []
+        open_, heads = [], []  # nodes without a component yet, and where each component on the path may begin
+        while path:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v], count = count, count + 1
+                open_.append(v)
+                heads.append(v)
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if seen[w] < 0:
+                    path.append(w)
+                elif label[w] < 0:
+                    while seen[heads[-1]] > seen[w]:
+                        heads.pop()
+                continue
+            path.pop()
+            if heads[-1] == v:
+                heads.pop()
+                while label[v] < 0:
+                    label[open_.pop()] = v
+    return np.array(label, np.int64)
+
+
 def _coloured(edges: DataFrame, cut, most_rounds: int) -> DataFrame:
     """node, colour: the smallest node that reaches it."""
     colours = cut(edges.select(F.col("dst").alias("node")).unionByName(edges.select(F.col("src").alias("node"))).distinct().select("node", F.col("node").alias("colour")))
@@ -90,7 +144,7 @@ def _reaching(inner: DataFrame, cut, most_rounds: int) -> DataFrame:
     raise RuntimeError("backward reach has not ended")
 
 
-def inclusion(constraints: DataFrame, most_waves: int = 10_000) -> DataFrame:
+def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: int = 200_000) -> DataFrame:
     """ptr, site: the solution of ``pointsto.inclusion``. A wave joins the cycles of copies, sends facts along the copies until nothing
     is new, and makes new copies of what loads and stores meet then."""
     spark = constraints.sparkSession
@@ -102,7 +156,7 @@ def inclusion(constraints: DataFrame, most_waves: int = 10_000) -> DataFrame:
         names = cut(copies.select(F.col("dst").alias("node"), F.col("src").alias("name")).limit(0))  # nodes that go by another's name
         new = pts
         for _ in range(most_waves):
-            cycles = cut(strong_components(copies).where("node <> component"))
+            cycles = cut(strong_components(copies, edges_a_task=edges_a_task).where("node <> component"))
             if not cycles.isEmpty():
                 load, store = (cut(_named(_named(df, "dst", cycles), "src", cycles).distinct()) for df in (load, store))
                 copies = cut(_named(_named(copies, "dst", cycles), "src", cycles).where("dst <> src").distinct())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
-from factloom.operators import callgraph, commands, fields, notes, pointsto, sites, symbols
+from factloom.operators import callgraph, commands, cycles, fields, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, shared_dir
 from factloom.sources import files, ir
 from factloom.sources import fixtures as X
@@ -358,6 +358,19 @@ def q_pts_andersen(spark, d):
     return pointsto.inclusion(X.constraints(spark, d))
 
 
+@query(f"with {PTS} select ptr, site from pts")
+def q_pts_waves(spark, d):
+    """Inclusion with the cycles of copies joined between waves: the sets of ``q_pts_andersen``."""
+    return cycles.inclusion(X.constraints(spark, d))
+
+
+@query(f"""with recursive {CONS}, cp as (select distinct dst, src from cn where op = 'COPY' and dst <> src), r(a, b) as (select src, dst from cp union select r.a, cp.dst from r join cp on cp.src = r.b)
+select x.a as node, least(x.a, min(x.b)) as component from r x join r y on y.a = x.b and y.b = x.a where x.a <> x.b group by x.a""")
+def q_copy_cycles(spark, d):
+    """The variables on cycles of copies, and the smallest of each cycle."""
+    return cycles.strong_components(X.constraints(spark, d).where("op = 'COPY'"))
+
+
 _UNIFY = f"""recursive {CONS}, tm as (select distinct n * 3::bigint + k as t from (select dst as n from cn union all select src from cn), range(3) r(k)),
 lk0 as (select dst * 3::bigint + case op when 'STORE' then 2 else 1 end as x, src * 3::bigint + case op when 'ADDR' then 0 when 'LOAD' then 2 else 1 end as y from cn),
 lk as (select x, y from lk0 union select y, x from lk0),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_graphs import andersen, random_constraints
 
@@ -29,12 +30,13 @@ def mutual(edges):
     return {(n, min(ms)) for n, ms in both.items() if len(ms) > 1}
 
 
+@pytest.mark.parametrize("at_once", [0, 30, 200_000])
 @pytest.mark.parametrize("seed", range(3))
-def test_strong_components_of_random_graphs(spark, seed):
+def test_strong_components_of_random_graphs(spark, seed, at_once):
     rng = random.Random(seed)
     edges = [(rng.randrange(-20, 40), rng.randrange(-20, 40)) for _ in range(60 + 15 * seed)]
     edges += [(100 + i, 101 + i) for i in range(9)] + [(200 + (i + 1) % 7, 200 + i) for i in range(7)] + [(5, 5)]  # a chain, a ring, a loop
-    got = cycles.strong_components(spark.createDataFrame(edges, EDGES)).collect()
+    got = cycles.strong_components(spark.createDataFrame(edges, EDGES), edges_a_task=at_once).collect()
     assert len(got) == len({r["node"] for r in got}) and {tuple(r) for r in got} == mutual(edges)
 
 
@@ -44,10 +46,22 @@ def test_components_of_nothing_chains_and_repeated_edges(spark):
     assert of([(1, 2), (2, 1), (2, 1), (None, 2), (1, None)]) == [(1, 1), (2, 1)]
 
 
+def test_one_task_finds_what_brute_force_finds():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 14)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 3 * n + 1))]
+        d, s = (np.array(x) for x in zip(*edges, strict=True))
+        label = cycles._components_of(n, s, d)
+        assert {(i, min(j for j in range(n) if label[j] == label[i])) for i in range(n) if (label == label[i]).sum() > 1} == mutual(edges)
+    chain = np.arange(100_000)
+    assert len(set(cycles._components_of(100_001, chain, chain + 1).tolist())) == 100_001
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_points_to_sets_with_joined_cycles(spark, seed):
     cons = random_constraints(seed)
-    got = cycles.inclusion(spark.createDataFrame(cons, schemas.CONSTRAINT)).collect()
+    got = cycles.inclusion(spark.createDataFrame(cons, schemas.CONSTRAINT), edges_a_task=0 if seed == 1 else 200_000).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == andersen(cons)
 
 
