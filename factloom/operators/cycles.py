@@ -146,7 +146,8 @@ def _reaching(inner: DataFrame, cut, most_rounds: int) -> DataFrame:
 
 def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: int = 200_000) -> DataFrame:
     """ptr, site: the solution of ``pointsto.inclusion``. A wave joins the cycles of copies, sends facts along the copies until nothing
-    is new, and makes new copies of what loads and stores meet then."""
+    is new, and makes new copies of what loads and stores meet then. Cycles are looked for again once a tenth of the copies is new:
+    sets are right with cycles, too, only larger."""
     spark = constraints.sparkSession
     known = constraints.where("dst is not null and src is not null")
     of = lambda op: known.where(F.col("op") == op).select("dst", "src").distinct()
@@ -154,10 +155,12 @@ def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: in
         load, store, copies = cut(of("LOAD")), cut(of("STORE")), cut(of("COPY").where("dst <> src"))
         pts = cut(of("ADDR").select(F.col("dst").alias("v"), F.col("src").alias("o")))
         names = cut(copies.select(F.col("dst").alias("node"), F.col("src").alias("name")).limit(0))  # nodes that go by another's name
-        new = pts
+        new, fresh, total = pts, 1, 1
         for _ in range(most_waves):
-            cycles = cut(strong_components(copies, edges_a_task=edges_a_task).where("node <> component"))
-            if not cycles.isEmpty():
+            cycles = None
+            if 10 * fresh >= total:
+                cycles, fresh = cut(strong_components(copies, edges_a_task=edges_a_task).where("node <> component")), 0
+            if cycles is not None and not cycles.isEmpty():
                 load, store = (cut(_named(_named(df, "dst", cycles), "src", cycles).distinct()) for df in (load, store))
                 copies = cut(_named(_named(copies, "dst", cycles), "src", cycles).where("dst <> src").distinct())
                 pts = cut(_named(pts, "v", cycles).distinct())
@@ -173,7 +176,9 @@ def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: in
             if links.isEmpty():
                 own = names.join(pts, F.col("name") == F.col("v")).select(F.col("node").alias("v"), "o")
                 return lineage.cut(pts.unionByName(own).select(F.col("v").alias("ptr"), F.col("o").alias("site")))
-            copies, new = cut(copies.unionByName(links)), cut(pts.limit(0))
+            fresh += links.count()
+            copies, new = cut(copies.unionByName(links)), pts.limit(0)
+            total = copies.count()
     raise RuntimeError("points-to sets have not converged")
 
 
