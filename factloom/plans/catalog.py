@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
-from factloom.operators import callgraph, commands, cycles, fields, notes, pointsto, sites, symbols
+from factloom.operators import callgraph, commands, cycles, fields, flow, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, shared_dir
 from factloom.sources import files, ir
 from factloom.sources import fixtures as X
@@ -494,6 +494,15 @@ def q_alias_fields(spark, d):
     return fields.alias(pairs, _field_pts(spark, d), status)
 
 
+# ---- flow ----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def q_pts_flow(spark, d):
+    """What variables point to, and what objects hold after each store, with stores that overwrite."""
+    return flow.solve(X.flow_statements(spark, d), X.flow_edges(spark, d), X.flow_singles(spark, d))
+
+
 # ---- traces --------------------------------------------------------------------------------------------------------
 
 

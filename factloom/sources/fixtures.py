@@ -192,3 +192,30 @@ def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, size of the objects of ``field_constraints``: one field to four."""
     return field_constraints(spark, sf_dir).where("op = 'ADDR' and src < 0").selectExpr("src as site", "int((-src) % 4 + 1) as size").distinct()
+
+
+#: Orders of a unit of the flow-sensitive program.
+FLOW_UNIT = 100
+
+
+def flow_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """at, block, ord, op, dst, src: every line item is a statement and its order the block that it stands in. A hundred orders make a unit of 400
+    variables and 20 objects. Line items of one order and number that are equal in what counts are equal statements."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as block", "l_linenumber as ord", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as k",
+        "case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' when 5 then 'STORE' when 6 then 'ADDR' else 'COPY' end as op",
+        "bigint(l_orderkey * 4 + l_linenumber % 4) as dst", f"l_orderkey div {FLOW_UNIT} as unit", "l_partkey * 13 + l_suppkey * 7 as h", "l_suppkey",
+    )
+    src = f"bigint(if(op = 'ADDR', -1 - (unit * 20 + l_suppkey % 20), unit * {4 * FLOW_UNIT} + h % {4 * FLOW_UNIT}))"
+    return rows.selectExpr("block * 100000 + k as at", "block", "ord", "op", "dst", f"{src} as src")
+
+
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """block, next: an order leads to the next one of its unit, every third also four on and every tenth six back."""
+    steps = "filter(array(1, if(o_orderkey % 3 = 0, 4, 1), if(o_orderkey % 10 = 7, -6, 1)), d -> (o_orderkey + d) div {u} = o_orderkey div {u} and o_orderkey + d >= 0)".format(u=FLOW_UNIT)
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as block", f"explode(array_distinct({steps})) as d").selectExpr("block", "block + d as next")
+
+
+def flow_singles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site: two thirds of the objects are one cell."""
+    return flow_statements(spark, sf_dir).where("op = 'ADDR' and src % 3 <> 0").select(F.col("src").alias("site")).distinct()
