@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
-from factloom.operators import callgraph, commands, cycles, fields, flow, notes, pointsto, sites, symbols
+from factloom.operators import callgraph, commands, cycles, dyck, fields, flow, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, shared_dir
 from factloom.sources import files, ir
 from factloom.sources import fixtures as X
@@ -503,6 +503,28 @@ def q_pts_flow(spark, d):
     return flow.solve(X.flow_statements(spark, d), X.flow_edges(spark, d), X.flow_singles(spark, d))
 
 
+_DYCK = f"""with recursive {_FIELD_CONS}, dc as (select op, dst, case when op = 'ADDR' and src = 0 then -1000000000 else src end as src, off from fc),
+ed as (select distinct case when op = 'LOAD' then src else dst end as s, 0 as k, case when op = 'LOAD' then dst else src end as d from dc where op in ('ADDR', 'LOAD', 'STORE') union select src, off, dst from dc where op = 'GEP' and off <> 0),
+eq0 as (select dst as x, src as y from dc where op = 'COPY' or op = 'GEP' and coalesce(off, 0) = 0), eq as (select x, y from eq0 union select y, x from eq0),
+tm as (select s as t from ed union select d from ed union select x from eq),
+lab(t, l) using key (t) as (
+  select t, t as l from tm
+  union
+  (select n.t, n.l from (select t, min(l) as l from (
+      select eq.x as t, r.l from eq join recurring.lab r on r.t = eq.y
+      union all
+      select ed.d, m.l from ed join recurring.lab a on a.t = ed.s join (select b.l as c, e.k, min(x.l) as l from ed e join recurring.lab b on b.t = e.s join recurring.lab x on x.t = e.d group by b.l, e.k) m on m.c = a.l and m.k = ed.k) group by t) n
+   join recurring.lab c on c.t = n.t where n.l < c.l))
+select t as node, l as class from lab"""
+
+
+@query(_DYCK)
+def q_alias_dyck(spark, d):
+    """Classes of variables and objects by paths of dereferences and fields of any depth."""
+    c = X.field_constraints(spark, d).withColumn("src", F.expr("if(op = 'ADDR' and src = 0, -1000000000, src)"))
+    return dyck.closure(*dyck.of_constraints(c))
+
+
 # ---- traces --------------------------------------------------------------------------------------------------------
 
 
