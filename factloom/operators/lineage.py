@@ -47,6 +47,15 @@ def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _remove(spark, folder)
 
 
+@contextmanager
+def removed_after(spark: SparkSession, folder: str) -> Iterator[str]:
+    """``folder``, which goes when the block ends."""
+    try:
+        yield folder
+    finally:
+        _remove(spark, folder)
+
+
 class Growing:
     """A table that each round of a fixpoint adds to, partitioned by the round and by ``part``.
 

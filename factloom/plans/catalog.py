@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
 from factloom.operators import callgraph, commands, cycles, dyck, fields, flow, notes, pointsto, sites, symbols
-from factloom.operators.lineage import build_once, shared_dir
-from factloom.sources import files, ir
+from factloom.operators.lineage import build_once, cut, removed_after, shared_dir
+from factloom.sources import files, ir, note_store
 from factloom.sources import fixtures as X
 from factloom.streaming import replay
 
@@ -594,6 +594,22 @@ def q_notes_delete(spark, d):
     return notes.delete(n, n.where("ord = 0").select("path", "heading"))
 
 
+@query("""with n as (select page_id as k, url as path, 'f_' || page_id as heading, (page_id % 3)::int as ord, html as text from pages)
+select path, heading, ord, text from n where k % 5 <> 0 union all select path, heading, ord + 1, 'seen ' || k from n where k % 3 = 0 and k % 5 <> 0""")
+def q_notes_commit(spark, d):
+    """All notes put into a table, then lines added by a second commit and notes deleted by a third."""
+    every, pages = X.notes(spark, d), X.table(spark, d, "pages").selectExpr("page_id as k", "url as path", "concat('f_', page_id) as heading")
+    with removed_after(spark, f"{shared_dir(spark).rstrip('/')}/notes-{uuid.uuid4().hex}") as store:
+        note_store.commit(store, every.select("path"), every)
+        some = pages.where("k % 3 = 0")
+        own = note_store.read(spark, store).join(some.select("path").distinct(), "path", "left_semi")
+        note_store.commit(store, some.select("path"), notes.append(own, some.selectExpr("path", "heading", "concat('seen ', k) as text")))
+        gone = pages.where("k % 5 = 0")
+        own = note_store.read(spark, store).join(gone.select("path").distinct(), "path", "left_semi")
+        note_store.commit(store, gone.select("path"), notes.delete(own, gone.select("path", "heading")))
+        return cut(note_store.read(spark, store))
+
+
 @query("with l as (select source || '/' || doc_id as path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as x from documents) select path, i as line_no, x[i] as line from l, unnest(range(1, len(x) + 1)) t(i)")
 def q_source_lines(spark, d):
     return files.split_lines(X.source_texts(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))
