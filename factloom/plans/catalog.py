@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import memory, names
-from factloom.operators import callgraph, commands, cycles, dyck, fields, flow, notes, pointsto, sites, symbols
+from factloom.operators import callgraph, commands, cycles, dyck, fields, flow, layers, notes, pointsto, sites, symbols
 from factloom.operators.lineage import build_once, cut, removed_after, shared_dir
 from factloom.sources import files, ir, note_store
 from factloom.sources import fixtures as X
@@ -455,6 +455,49 @@ def q_command_batch(spark, d):
     return commands.answer(lines, X.call_edges(spark, d), _pts(spark, d), _status(spark, d), _index(spark, d))
 
 
+# ---- calls by layers -----------------------------------------------------------------------------------------------
+
+
+def _layer_sql(seed: str, n: str, turn: str) -> str:
+    """A path as numbers type * 3 + field."""
+    s = f"({seed} + case when i >= {turn} then 1 else 0 end)"
+    return f"[(signature * {X.TYPES} + ({s} + i * i) % {X.TYPES}) * 3 + {s} * (i + 1) % 3 for i in range(10) if i < {n}]"
+
+
+_LAYERS = f"""recursive {FUNCS}, {SITES}, cv as (select distinct s_suppkey % {8 * X.TYPES} as type, case when s_suppkey % 9 <> 8 then s_suppkey * 5 % {8 * X.TYPES} end as into_ from supplier where s_suppkey % 5 = 3),
+lost(type) as (select type from cv where into_ is null union select cv.type from lost join cv on cv.into_ = lost.type), lostlist as (select coalesce(list(type), []) as ts from lost),
+ac as (select callsite as id, signature, {_layer_sql("callsite % 6", "(callsite // 8) % 11", "10")} as p from cs where kind = 'indirect'),
+af as (select vid as id, signature, {_layer_sql("vid % 6", "vid % 11", "vid % 13")} as p from fn where is_taken),
+cut0 as (select true as call, * from ac union all select false, * from af), cut1 as (select call, id, signature, p, list_position([list_contains(ts, x // 3) for x in p], true) as e from cut0, lostlist),
+cut2 as (select call, id, signature, case when e > 0 then p[1:e - 1] else p end as p, coalesce(e > 0, false) as ended from cut1),
+st as (select id, signature, ended, p, p[1:k] as pre, k from cut2, range(11) r(k) where not call and k <= len(p)),
+dec as (select c.id, c.signature, c.p, coalesce(max(st.k), 0) as depth from cut2 c left join st on st.signature = c.signature and st.k <= len(c.p) and c.p[1:st.k] = st.pre where c.call group by c.id, c.signature, c.p),
+cls as (select id, depth, min(id) over (partition by signature, p[1:depth]) as class, signature, p[1:depth] as pre from dec),
+mem as (select distinct class, st.id as callee from (select distinct class, signature, pre, depth from cls) c join st on st.signature = c.signature and ((st.k = depth and st.pre = c.pre) or (st.ended and st.k = len(st.p) and st.k <= depth and c.pre[1:st.k] = st.pre)))"""
+
+
+def _layers(spark, d):
+    conversions = X.layer_conversions(spark, d)
+    lost = layers.escaping(conversions.where("to is null").select("type"), conversions.where("to is not null"))
+    return layers.classes(X.layer_calls(spark, d), X.layer_stores(spark, d), lost)
+
+
+@query(f"with {_LAYERS} select id as callsite, class, depth::int as depth from cls")
+def q_layer_calls(spark, d):
+    """The class and depth that decide each indirect call, of up to ten layers."""
+    return _layers(spark, d)[0]
+
+
+@query(f"with {_LAYERS} select class, callee from mem")
+def q_layer_targets(spark, d):
+    return _layers(spark, d)[1]
+
+
+@query(f"with {_LAYERS}, n as (select class, count(*) as n from mem group by class) select depth::int as depth, count(*) as n_calls, count(*) filter (where n is null) as n_without, sum(coalesce(n, 0))::bigint as n_targets, max(coalesce(n, 0)) as largest from cls left join n using (class) group by depth")
+def q_layer_figures(spark, d):
+    return layers.figures(*_layers(spark, d))
+
+
 # ---- fields --------------------------------------------------------------------------------------------------------
 
 _FIELD_CONS = """c0 as (select case (l_orderkey + l_linenumber * 3) % 10 when 0 then 'ADDR' when 1 then 'ADDR' when 2 then 'LOAD' when 3 then 'STORE' when 4 then 'LOAD' when 5 then 'GEP' when 6 then 'GEP' else 'COPY' end op,

@@ -219,3 +219,29 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_singles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site: two thirds of the objects are one cell."""
     return flow_statements(spark, sf_dir).where("op = 'ADDR' and src % 3 <> 0").select(F.col("src").alias("site")).distinct()
+
+
+#: Types of the fields that calls of one signature go through.
+TYPES = 9
+
+
+def _layer_path(seed: str, n: str, turn: str) -> str:
+    """SQL of a path of n fields; from the field ``turn`` on it goes another way."""
+    s = f"({seed} + if(i >= {turn}, 1, 0))"
+    return f"transform(filter(sequence(0, 9), i -> i < {n}), i -> named_struct('type', bigint(signature * {TYPES} + ({s} + i * i) % {TYPES}), 'field', bigint({s} * (i + 1) % 3)))"
+
+
+def layer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """callsite, signature, path of the indirect calls, through up to ten fields."""
+    return call_sites(spark, sf_dir).where("kind = 'indirect'").selectExpr("callsite", "signature", _layer_path("callsite % 6", "(callsite div 8) % 11", "10") + " as path")
+
+
+def layer_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """callee, signature, path of the functions whose address is taken."""
+    return functions(spark, sf_dir).where("is_taken").selectExpr("vid as callee", "signature", _layer_path("vid % 6", "vid % 11", "vid % 13") + " as path")
+
+
+def layer_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type, to; ``to`` is null where a type is converted to one that isn't followed."""
+    n = 8 * TYPES
+    return table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 3").selectExpr(f"bigint(s_suppkey % {n}) as type", f"if(s_suppkey % 9 = 8, null, bigint(s_suppkey * 5 % {n})) as to").distinct()
