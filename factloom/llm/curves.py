@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def placed(groups: DataFrame, curves: Curves) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                first = b.column("ids").flatten().to_numpy()[np.r_[0, np.cumsum(pa.compute.list_value_length(b.column("ids")).to_numpy())[:-1]]]
+                first = b.column("ids").flatten().to_numpy()[np.r_[0, np.cumsum(pc.list_value_length(b.column("ids")).to_numpy())[:-1]]]
                 yield pa.RecordBatch.from_arrays([pa.array(first), b.column("ids"), b.column("v"), list_array(curves.keys(matrix(b.column("v")), first))], ["first", "ids", "v", "keys"])
 
     return settle(groups.mapInArrow(run, "first long, ids array<long>, v array<double>, keys array<long>"))
@@ -177,7 +178,7 @@ def merged(hits: DataFrame, k: int, *key: str, copies: int = 1) -> DataFrame:
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where the lists of a column begin (the end last) and all their values."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.r_[0, np.cumsum(pa.compute.list_value_length(column).to_numpy())].astype(np.int64), column.flatten().to_numpy()
+    return np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy())].astype(np.int64), column.flatten().to_numpy()
 
 
 def true_neighbours(index: DataFrame, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, list]]:
@@ -289,7 +290,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 8, target
 
     def match(table: pa.Table) -> pa.Table:
         asks = table.column("query_id").is_valid()
-        q, x = table.filter(asks).combine_chunks(), table.filter(pa.compute.invert(asks)).combine_chunks()
+        q, x = table.filter(asks).combine_chunks(), table.filter(pc.invert(asks)).combine_chunks()
         own = q.column("query_id").to_numpy()
         if not len(q) or not len(x):
             return pa.table({"query_id": pa.array([], pa.int64()), "hits": pa.array([], pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())])))})

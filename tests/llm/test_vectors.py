@@ -1,5 +1,8 @@
 """Curve search against comparing all pairs, whitening against a dense eigendecomposition."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +76,14 @@ def test_curve_search_recall_and_parts(spark):
         assert all(abs(score - s[q // 20, j]) < 1e-12 * (1 + abs(score)) for (q, _), (j, score) in got.items())
 
 
+def test_lists_in_a_fresh_worker():
+    """A worker that has run nothing else yet (``pa.array`` would load pandas, and that pyarrow.compute): the module imports
+    what it uses."""
+    code = "import numpy as np, pyarrow as pa; from factloom.llm import curves; b = lambda *x: pa.py_buffer(np.array(x)); v = pa.Array.from_buffers(pa.int64(), 3, [None, b(1, 2, 3)]); print([x.tolist() for x in curves._lists(pa.LargeListArray.from_buffers(pa.large_list(pa.int64()), 3, [None, b(0, 2, 2, 3)], children=[v]))])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "[[0, 2, 2, 3], [1, 2, 3]]", done.stderr
+
+
 def test_window_is_a_part_where_vectors_have_neighbourhoods(spark):
     rng = np.random.default_rng(6)
     v = (rng.normal(size=(40, 8))[np.repeat(np.arange(40), 60)] + 0.02 * rng.normal(size=(2400, 8))).astype(np.float32)
