@@ -66,6 +66,21 @@ def test_inclusion_in_tasks_and_by_rounds(spark, most_cost):
     assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in pointsto.inclusion_by_rounds(df).collect()}
 
 
+@pytest.mark.parametrize("most_cost", [units.MOST_COST, 300, 0])
+def test_unification_in_tasks_and_by_rounds(spark, most_cost):
+    df = spark.createDataFrame(program(3, 12), schemas.CONSTRAINT)
+    got = sorted(tuple(r) for r in pointsto.unification(df, most_cost=most_cost).collect())
+    assert got == sorted(tuple(r) for r in pointsto.unification_by_rounds(df).collect())
+
+
+def test_small_classes_take_no_rounds(spark, monkeypatch):
+    """Pointees of pointees fall together along a chain that took a round a link."""
+    chain = [(op, 100 * k + i + 1, 100 * k + i) for k in range(40) for i in range(30) for op in ("LOAD", "COPY")]
+    monkeypatch.setattr(pointsto, "unification_by_rounds", lambda *a, **k: pytest.fail("rounds"))
+    got = pointsto.unification(spark.createDataFrame(chain, schemas.CONSTRAINT))
+    assert got.count() == 40 * 31 * 3 and got.schema.simpleString() == "struct<node:int,level:int,label:bigint>"
+
+
 def test_small_units_take_no_rounds(spark, monkeypatch):
     """A chain of 60 copies in each of 50 units is solved without a round of joins a copy."""
     chain = [("ADDR", 100 * k, -1 - k) for k in range(50)] + [("COPY", 100 * k + i + 1, 100 * k + i) for k in range(50) for i in range(60)]
