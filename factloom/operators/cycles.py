@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import lineage
+from factloom.operators import lineage, pointsto, units
 
 #: Steps of a fixpoint that share one job: most small graphs are then done in one or two.
 HOPS = 3
@@ -144,8 +144,13 @@ def _reaching(inner: DataFrame, cut, most_rounds: int) -> DataFrame:
     raise RuntimeError("backward reach has not ended")
 
 
-def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: int = 200_000) -> DataFrame:
-    """ptr, site: the solution of ``pointsto.inclusion``. A wave joins the cycles of copies, sends facts along the copies until nothing
+def inclusion(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: int = 200_000, most_cost: int = units.MOST_COST) -> DataFrame:
+    """ptr, site: the solution of ``pointsto.inclusion``. What is too large for a task there is solved by waves (``inclusion_by_waves``)."""
+    return pointsto.inclusion(constraints, most_cost=most_cost, large_by=lambda rest: inclusion_by_waves(rest, most_waves, edges_a_task))
+
+
+def inclusion_by_waves(constraints: DataFrame, most_waves: int = 10_000, edges_a_task: int = 200_000) -> DataFrame:
+    """ptr, site on Spark alone. A wave joins the cycles of copies, sends facts along the copies until nothing
     is new, and makes new copies of what loads and stores meet then. Cycles are looked for again once a tenth of the copies is new:
     sets are right with cycles, too, only larger."""
     spark = constraints.sparkSession
