@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from factloom import schemas
-from factloom.operators import lineage, local, pointsto, units
+from factloom.operators import fields, lineage, local, pointsto, units
 
 
 def joined(links):
@@ -95,3 +95,28 @@ def test_products_are_made_in_pieces(monkeypatch):
     table = local.Index(np.array([5, 1, 5, 2, 5]), np.arange(5))
     got = sorted((int(i), int(c)) for part in table.join(np.array([5, 9, 1, 5])) for i, c in zip(*part, strict=True))
     assert got == [(0, 0), (0, 2), (0, 4), (2, 1), (3, 0), (3, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("most_cost", [units.MOST_COST, 2000, 0])
+def test_fields_in_tasks_and_by_rounds(spark, most_cost):
+    """Parts with objects of several fields, some of which meet in memory that nothing is known of."""
+    rng = random.Random(8)
+    cons = []
+    for k in range(6):
+        n = rng.choice([4, 12])
+        for _ in range(4 * n):
+            op = rng.choice(["ADDR", "COPY", "LOAD", "STORE", "GEP", "GEP"])
+            src = (0 if k < 2 and rng.random() < 0.2 else -1 - 10 * k - rng.randrange(4)) if op == "ADDR" else 100 * k + rng.randrange(n)
+            cons.append((op, 100 * k + rng.randrange(n), src, rng.choice([0, 1, 1, 2, -1, None]) if op == "GEP" else None))
+    sizes = spark.createDataFrame([(-s, s % 5) for s in range(1, 60)], "site long, size int")
+    df = spark.createDataFrame(cons, "op string, dst long, src long, offset int")
+    key = lambda r: repr(tuple(r))
+    got = sorted(map(key, fields.inclusion(df, sizes, most_cost=most_cost).collect()))
+    assert len(got) == len(set(got)) and got == sorted(map(key, fields.inclusion(df, sizes, most_cost=-1).collect()))
+
+
+def test_small_parts_with_fields_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(pointsto, "inclusion_by_rounds", lambda *a, **k: pytest.fail("rounds"))
+    cons = [("ADDR", 0, -1, None)] + [("GEP", i + 1, i, 1) for i in range(40)]
+    got = fields.inclusion(spark.createDataFrame(cons, "op string, dst long, src long, offset int"), spark.createDataFrame([(-1, 30)], "site long, size int"))
+    assert {(r["ptr"], r["field"]) for r in got.collect()} == {(i, i if i < 30 else -1) for i in range(41)}
